@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from loomwork.llm.mixing import op4_pfair_mix
+from loomwork.llm.secrets import op6_secret_scan
+from loomwork.llm.sharding import op3_shard_label_propagation
 from loomwork.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_shard_label_propagation": op3_shard_label_propagation,
+    "op4_pfair_mix": op4_pfair_mix,
+    "op6_secret_scan": op6_secret_scan,
 }
 ORACLES: dict[str, str] = {}
