@@ -91,7 +91,8 @@ def _propagate(pieces: DataFrame, scratch: Scratch, quota: int, shards: int, rou
         load = {r["s"]: r["n"] for r in pieces.groupBy("s").agg(F.sum("n").alias("n")).collect()}
         room = [max(0, quota - load.get(s, 0)) for s in range(shards)]
         held = pieces.groupBy(*CLS, "s").agg(F.sum("n").alias("held"))
-        open_ = held.where(_at(room, F.col("s")) > 0)
+        # a nearly full shard would attract a class and take none of it
+        open_ = held.where(_at(room, F.col("s")) > quota // 10)
         best = open_.groupBy(*CLS).agg(F.max(F.struct("held", (-F.col("s")).alias("neg"))).alias("best"))
         want = pieces.join(held, [*CLS, "s"]).join(best, CLS, "left")
         gain = (F.col("best") > F.struct("held", (-F.col("s")).alias("neg"))) & (-F.col("best.neg") != F.col("s"))
