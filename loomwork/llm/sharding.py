@@ -98,12 +98,17 @@ def _propagate(pieces: DataFrame, scratch: Scratch, quota: int, shards: int, rou
         gain = (F.col("best") > F.struct("held", (-F.col("s")).alias("neg"))) & (-F.col("best.neg") != F.col("s"))
         want = want.withColumn("to", F.when(gain, -F.col("best.neg")))
         want = scratch.save(want.select(*CLS, "s0", "n", "s", "to"), f"w{k}")
-        asked = {r["to"]: r["n"] for r in want.where("to is not null").groupBy("to").agg(F.sum("n").alias("n")).collect()}
-        if not asked:
+        # quotas: movers to a shard are let in by hash order while they fit; sums
+        # over 4096 hash ranges find the cut of each shard
+        luck = F.pmod(F.xxhash64(*CLS, "s0", F.lit(k)), F.lit(4096)).cast("int")
+        asked = want.where("to is not null").groupBy("to", luck.alias("luck")).agg(F.sum("n").alias("n"))
+        upto = F.sum("n").over(W.partitionBy("to").orderBy("luck"))
+        cuts = asked.withColumn("upto", upto).groupBy("to").agg(F.max(F.when(F.col("upto") <= _at(room, F.col("to")), F.col("luck"))).alias("cut"))
+        cut = {r["to"]: r["cut"] for r in cuts.collect()}  # one row per shard
+        if not cut:
             break
-        share = [min(1.0, room[s] / asked[s]) if s in asked else 0.0 for s in range(shards)]
-        luck = F.pmod(F.xxhash64(*CLS, "s0", F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
-        moves = F.col("to").isNotNull() & (luck < _at(share, F.col("to"), "double"))
+        allowed = [cut[s] if cut.get(s) is not None else -1 for s in range(shards)]
+        moves = F.col("to").isNotNull() & (luck <= _at(allowed, F.col("to")))
         new = want.select(*CLS, "s0", "n", F.when(moves, F.col("to")).otherwise(F.col("s")).alias("s"), moves.alias("moved"))
         new = scratch.save(new, f"p{k + 1}")
         scratch.drop(f"p{k}")
