@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from loomwork.llm.language_crf import op2_language_crf
 from loomwork.llm.mixing import op4_pfair_mix
 from loomwork.llm.secrets import op6_secret_scan
+from loomwork.llm.sentencepiece_trie import op7_sentencepiece
 from loomwork.llm.sharding import op3_shard_label_propagation
 from loomwork.llm.simhash import op1_simhash_near_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_language_crf": op2_language_crf,
     "op3_shard_label_propagation": op3_shard_label_propagation,
     "op4_pfair_mix": op4_pfair_mix,
     "op6_secret_scan": op6_secret_scan,
+    "op7_sentencepiece": op7_sentencepiece,
 }
 ORACLES: dict[str, str] = {}
