@@ -288,15 +288,18 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 800, longest: int = 20_000) -> Model:
-    """Fit on at most ``sample`` labelled texts of at most ``longest`` characters.
+    """Fit on about ``sample`` labelled texts of at most ``longest`` characters.
 
-    The sample is the rows with the smallest id hashes; the driver holds
-    sample * longest characters at most.
+    Rows are drawn by id hash at the rate that gives ``sample`` rows; never
+    more than twice as many, so the driver holds 2 * sample * longest
+    characters at most.
     """
-    chosen = docs.where(F.col(lang_col).isNotNull() & (F.char_length(text_col) <= longest)).select(
-        F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col), F.lit("crf")).alias("h")
-    )
-    rows = chosen.orderBy("h", "lang", F.xxhash64("text")).limit(sample).select("text", "lang").toPandas()
+    known = docs.where(F.col(lang_col).isNotNull())
+    rows = known.count()
+    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("crf")), 11) / float(1 << 53)
+    drawn = known.where((h < sample / max(rows, 1)) & (F.char_length(text_col) <= longest))
+    drawn = drawn.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h"))
+    rows = drawn.orderBy("h", "lang", F.xxhash64("text")).limit(2 * sample).select("text", "lang").toPandas()
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 

@@ -12,6 +12,7 @@ depth first, and a common prefix is computed once.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,11 +52,16 @@ class Codec:
         self.ids = {p: i for i, (p, _, t) in enumerate(vocabulary) if t == NORMAL}
         self.score = [s for _, s, _ in vocabulary]
         self.piece = [p for p, _, _ in vocabulary]
-        self.longest = max(map(len, self.ids))
+        # lengths of the pieces with each last three characters, longest first
+        lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 2:
+                lengths.setdefault(p[-3:], {2, 1}).add(len(p))
+        self.tail = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(vocabulary) if t == BYTE}
         self.unknown = next((i for i, (_, _, t) in enumerate(vocabulary) if t == UNKNOWN), 0)
         self.raw = [
-            bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == 3 else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode()
+            bytes.fromhex(p[3:5]) if t == BYTE else b"" if t == 3 else " ⁇ ".encode() if t == UNKNOWN else p.replace(SPACE, " ").encode()
             for p, _, t in vocabulary
         ]
         known = "".join(re.escape(p) for p in self.ids if len(p) == 1)
@@ -94,7 +100,8 @@ class Codec:
         out: dict[str, list[int]] = {}
         last: list[int] = [-1]  # last[i]: last piece of the current word's first i characters
         before = ""
-        ids, longest, piece, joint = self.ids.get, self.longest, self.piece, self.joint.get
+        ids, tail, piece, joint = self.ids.get, self.tail.get, self.piece, self.joint.get
+        short = (2, 1)
         for w in sorted(words):
             n = min(len(w), len(before))
             i = 0
@@ -103,7 +110,10 @@ class Codec:
             del last[i + 1 :]
             for end in range(i + 1, len(w) + 1):
                 found = -1
-                for start in range(max(0, end - longest), end):
+                for size in tail(w[end - 3 : end], short) if end > 2 else short:
+                    start = end - size
+                    if start < 0:
+                        continue
                     t = ids(w[start:end])
                     if t is None:
                         continue
@@ -136,12 +146,12 @@ class Codec:
             else:
                 plain.add(w)
         done = self.segment(list(plain))
-        out = {w: np.array(done[w], "<i4").tobytes() for w in plain if w not in parts}
+        out = {w: array("i", done[w]).tobytes() for w in plain if w not in parts}
         for w, xs in parts.items():
             ids: list[int] = []
             for x in xs:
                 ids += done[x] if x in done else [self.byte.get(b, self.unknown) for b in x.encode("utf-8", "surrogatepass")]
-            out[w] = np.array(ids, "<i4").tobytes()
+            out[w] = array("i", ids).tobytes()
         return out
 
     def _split(self, word: str) -> list[str]:
@@ -189,32 +199,37 @@ def _share(spark, path):
     return spark.sparkContext.broadcast((hash((path, len(vocabulary))), vocabulary))
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = MODEL, check_col: str = "") -> DataFrame:
     """``docs`` without the text, plus ``out_col``: array<int> of piece ids.
 
     The ids equal SentencePiece's own for the model.  A null text gives null, an
     empty one no ids; characters outside the vocabulary become byte pieces.
     Repeated rows and extra columns pass through; an extra column named like
-    ``out_col`` is replaced.  An empty table gives an empty result.
+    ``out_col`` is replaced.  An empty table gives an empty result.  With
+    ``check_col``, a boolean says whether decoding the ids gives the text back
+    (null for a null text); a text that itself holds U+2581 does not.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = _share(spark, model)
-    keep = [c for c in docs.columns if c not in (text_col, out_col)]
+    keep = [c for c in docs.columns if c not in (text_col, out_col, check_col)]
     src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for b in slices(batches, "__text"):
+        for b in slices(batches, "__text", 4 << 20):
             texts = b.column("__text").to_pylist()
             ids = codec.encode(texts)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
             null = pa.array([t is None for t in texts])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), mask=null)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, out_col])
+            more = [pa.array([None if t is None else codec.decode(x.tolist()) == t for t, x in zip(texts, ids)], pa.bool_())] if check_col else []
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists, *more], names=names)
 
-    schema = T.StructType([*src.drop("__text").schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    names = [*keep, out_col, *[check_col] * bool(check_col)]
+    added = [T.StructField(out_col, T.ArrayType(T.IntegerType())), *[T.StructField(check_col, T.BooleanType())] * bool(check_col)]
+    schema = T.StructType([*src.drop("__text").schema.fields, *added])
     return src.mapInArrow(run, schema)
 
 
@@ -239,6 +254,6 @@ def decode(tokens: DataFrame, ids_col: str = "ids", out_col: str = "text", model
 
 
 def op7_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", F.xxhash64("text").alias("h"))
-    back = decode(encode(docs), out_col="back")
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.xxhash64("back") == F.col("h")).alias("round_trip"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    out = encode(docs, check_col="round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
