@@ -78,6 +78,18 @@ def _tree_edges(nodes: DataFrame, scratch: Scratch, n: int, dims: int, k: int, t
     return placed.groupBy("tree", "leaf", "part").applyInArrow(pairs, "u long, v long, d double")
 
 
+def _halves(batches):
+    """Vectors as 16-bit floats: enough to rank pairs while the graph is built."""
+    for b in batches:
+        if b.num_rows:
+            raw = matrix(b.column(1)).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in raw], pa.binary())], names=["id", "vec"])
+
+
+def _unpack(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(len(column), -1)
+
+
 def _local_join(rows: DataFrame, best: int) -> DataFrame:
     """Candidate edges (u, v, d) from pairs of members that share a centre.
 
@@ -91,7 +103,7 @@ def _local_join(rows: DataFrame, best: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [np.asarray(b.column(c)) for c in ("w", "u", "fresh", "kth")] + [matrix(b.column(b.schema.get_field_index("vec")))]
+            cols = [np.asarray(b.column(c)) for c in ("w", "u", "fresh", "kth")] + [_unpack(b.column(b.schema.get_field_index("vec")))]
             if held is not None:
                 cols = [np.concatenate([x, y]) for x, y in zip(held, cols)]
             last = np.searchsorted(cols[0], cols[0][-1], "left")
@@ -110,7 +122,7 @@ def _local_join(rows: DataFrame, best: int) -> DataFrame:
             m = int(n.max())
             at = np.minimum(s[:, None] + np.arange(m), len(w) - 1)
             ok = np.arange(m) < n[:, None]
-            x = v[at]
+            x = v[at].astype(np.float32)
             sq = (x**2).sum(2)
             d = sq[:, :, None] + sq[:, None, :] - 2 * x @ x.transpose(0, 2, 1)
             use = ok[:, :, None] & ok[:, None, :] & (fresh[at][:, :, None] | fresh[at][:, None, :]) & (u[at][:, :, None] != u[at][:, None, :])
@@ -119,18 +131,19 @@ def _local_join(rows: DataFrame, best: int) -> DataFrame:
             dj = np.take_along_axis(d, j, 2)
             good = dj < kth[at][:, :, None]
             g, i, r = np.nonzero(good)
-            yield pa.RecordBatch.from_arrays([pa.array(u[at[g, i]]), pa.array(u[at[g, j[g, i, r]]]), pa.array(dj[g, i, r])], names=["u", "v", "d"])
+            yield pa.RecordBatch.from_arrays([pa.array(u[at[g, i]]), pa.array(u[at[g, j[g, i, r]]]), pa.array(dj[g, i, r].astype(np.float64))], names=["u", "v", "d"])
 
     return rows.mapInArrow(run, "u long, v long, d double")
 
 
-def build(nodes: DataFrame, scratch: Scratch, k: int = 20, reverse: int = 12, trees: int = 4, leaf: int = 256, rounds: int = 3, settle: float = 0.01, seed: int = 11) -> DataFrame:
+def build(nodes: DataFrame, scratch: Scratch, k: int = 32, reverse: int = 24, trees: int = 8, leaf: int = 1000, rounds: int = 4, settle: float = 0.01, seed: int = 11) -> DataFrame:
     """(u, list array<struct<d, v, fresh>>): the neighbour graph of ``nodes(id, vec)``."""
     n = nodes.count()
     top = nodes.select(F.size("vec").alias("d")).first()
     dims = top["d"] if top else 1
     edges = _tree_edges(nodes, scratch, n, dims, k, trees, leaf, seed).groupBy("u", "v").agg(F.min("d").alias("d"))
     graph = scratch.save(nearest_lists(edges.withColumn("fresh", F.lit(True)), "u", k, "fresh"), "g0")
+    half = scratch.save(nodes.select("id", "vec").mapInArrow(_halves, "id long, vec binary"), "half")
     for r in range(1, rounds + 1):
         flat = graph.select("u", F.explode("list").alias("e")).select("u", "e.d", "e.v", "e.fresh")
         back = nearest_lists(flat.select(F.col("v").alias("w"), "d", F.col("u").alias("v"), "fresh"), "w", reverse, "fresh")
@@ -138,24 +151,31 @@ def build(nodes: DataFrame, scratch: Scratch, k: int = 20, reverse: int = 12, tr
         ahead = flat.select(F.col("u").alias("w"), F.col("v").alias("u"), "fresh")
         members = ahead.union(back).groupBy("w", "u").agg(F.max("fresh").alias("fresh"))
         # a centre none of whose members is new has nothing to compare
+        members = scratch.save(members, f"m{r}")
+        live = members.where("fresh").select("w").distinct()
+        members = members.join(live, "w", "left_semi")
         far = graph.select(F.col("u"), F.when(F.size("list") < k, F.lit(float("inf"))).otherwise(F.element_at("list", -1)["d"]).alias("kth"))
-        info = nodes.select(F.col("id").alias("u"), "vec").join(far, "u", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+        info = half.select(F.col("id").alias("u"), "vec").join(far, "u", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
         rows = members.join(info, "u").repartition("w").sortWithinPartitions("w")
-        more = _local_join(rows.select("w", "u", "fresh", "kth", "vec"), best=8)
+        more = _local_join(rows.select("w", "u", "fresh", "kth", "vec"), best=10)
         both = flat.select("u", "v", "d", F.lit(False).alias("fresh")).union(more.select("u", "v", "d", F.lit(True).alias("fresh")))
         merged = both.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
         new = scratch.save(nearest_lists(merged, "u", k, "fresh"), f"g{r}")
         changed = new.select(F.sum(F.size(F.filter("list", lambda e: e["fresh"]))).alias("c")).first()["c"] or 0
         scratch.drop(f"g{r - 1}")
+        scratch.drop(f"m{r}")
         graph = new
         if changed <= settle * n * k:
             break
     return graph
 
 
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int = 32, landmarks: int = 64, entries: int = 4, steps: int = 12) -> DataFrame:
+def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scratch, beam: int = 128, landmarks: int = 64, entries: int = 4, wide: int = 32, steps: int = 40) -> DataFrame:
     """(q, v, d): each query's beam of nearest nodes found by greedy search.
 
+    A step expands the ``wide`` nearest unexpanded nodes of every beam; the
+    search ends when no beam has any, after ``steps`` steps at the latest.
+
     ``queries``: (q, vec array<double>, node): node is the graph node with the
     query's own vector, or null for a query from outside.
     """
@@ -184,14 +204,17 @@ def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, scratch: Scra
     links = graph.select(F.col("u").alias("v"), F.transform("list", lambda e: e["v"]).alias("next"))
     for r in range(1, steps + 1):
         flat = state.select("q", F.explode("list").alias("e")).select("q", "e.v", "e.d", "e.done")
-        open_ = flat.where("not done")
+        nearest = F.slice(F.filter("list", lambda e: ~e["done"]), 1, wide)
+        open_ = state.select("q", F.explode(nearest).alias("e")).select("q", "e.v")
         if not open_.limit(1).count():
             break
         fresh = open_.join(links, "v").select("q", F.explode("next").alias("v")).distinct()
         fresh = fresh.join(flat.select("q", "v"), ["q", "v"], "left_anti")
         pairs = fresh.join(nodes.select(F.col("id").alias("v"), F.col("vec").alias("x")), "v").join(queries.select("q", F.col("vec").alias("y")), "q")
         scored = distances(pairs.select("q", "v", "x", "y"))
-        both = flat.select("q", "v", "d", F.lit(True).alias("done")).union(scored.select("q", "v", "d", F.lit(False).alias("done")))
+        expanded = open_.withColumn("now", F.lit(True))
+        marked = flat.join(expanded, ["q", "v"], "left").withColumn("done", F.col("done") | F.coalesce("now", F.lit(False)))
+        both = marked.select("q", "v", "d", "done").union(scored.select("q", "v", "d", F.lit(False).alias("done")))
         state = scratch.save(nearest_lists(both, "q", beam, "done"), f"s{r}")
         scratch.drop(f"s{r - 1}")
     return state.select("q", F.explode("list").alias("e")).select("q", "e.v", "e.d")
@@ -222,6 +245,9 @@ def neighbours(rows: DataFrame, every: int, id_col: str = "vec_id", vec_col: str
     scratch = Scratch(rows.sparkSession, "nndescent")
     own = scratch.save(prepare(rows, id_col, vec_col), "own")
     classes = own.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("vec").alias("exact"))
+    # float components travel as floats, which loses nothing
+    if rows.schema[vec_col].dataType.simpleString() == "array<float>":
+        classes = classes.withColumn("exact", F.col("exact").cast("array<float>"))
     classes = scratch.save(classes.withColumn("vec", F.col("exact").cast("array<float>")), "classes")
     graph = build(classes.select("id", "vec"), scratch, **graph_options)
     asked = own.where(F.col("id") % every == 0).join(classes.select("h1", "h2", F.col("id").alias("node")), ["h1", "h2"])
