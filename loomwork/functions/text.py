@@ -23,9 +23,14 @@ def tokens(text: Column) -> Column:
 
 def shingles(words: Column, k: int) -> Column:
     """Distinct k-word shingles; fewer words give one shingle, none give none."""
-    many = F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))
-    one = F.when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.when(F.size(words) >= k, many).otherwise(one))
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " "))
+        one = F.when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.when(F.size(w) >= k, many).otherwise(one))
+
+    # bound once: inside the inner lambda the words would be computed for every shingle
+    return F.element_at(F.transform(F.array(words), of), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
