@@ -25,4 +25,4 @@ def load(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from loomwork.plans import composite, evaluation, evidence, exchange, extraction, facts, governance, lanes, relational, retrieval, textual  # noqa: E402, F401
+from loomwork.plans import classify, composite, evaluation, evidence, exchange, extraction, facts, governance, lanes, relational, retrieval, textual, versions  # noqa: E402, F401
