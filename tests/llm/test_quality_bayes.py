@@ -13,7 +13,18 @@ def test_accuracy_on_labels(spark):
     assert ((both.quality >= 0.5) == (both.quality_label == 1)).mean() > 0.93
 
 
-def test_held_out_accuracy():
+def test_accuracy_on_labels_not_learned_from(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = qb.classify(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("crc32(cast(doc_id as string)) % 4 <> 2")).toPandas()
+    held = labels.where("quality is not null and crc32(cast(doc_id as string)) % 4 = 2").toPandas()
+    both = out.merge(held, left_on="id", right_on="doc_id", suffixes=("", "_label"))
+    right = ((both.quality >= 0.5) == (both.quality_label == 1)).mean()
+    print(f"held-out accuracy {right:.4f} on {len(both)} rows, share of ones {both.quality_label.mean():.4f}")
+    assert len(both) > 100 and right > 0.9
+
+
+def test_logistic_model_generalises():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(800, 3))
     y = (x @ [2.0, -1.0, 0.0] + rng.normal(size=800) * 0.3 > 0).astype(float)
