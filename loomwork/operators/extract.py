@@ -2,50 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import text
+from loomwork.operators import entities
 
-# (pattern with the object as group 1, polarity, strength); stronger rules first.
-PREFERENCES = [
-    (r"(?i)\bI (?:can't|cannot|must not) (?:eat|have|use) ([\p{L} ]{2,40})", -1, 5), (r"(?i)\bmy favou?rite [\p{L}]+ is ([\p{L} ]{2,40})", 1, 4),
-    (r"(?i)\bI (?:really )?love ([\p{L} ]{2,40})", 1, 3), (r"(?i)\bI (?:really )?hate ([\p{L} ]{2,40})", -1, 3),
-    (r"(?i)\bI (?:really )?like ([\p{L} ]{2,40})", 1, 2), (r"(?i)\bI (?:don't|do not) like ([\p{L} ]{2,40})", -1, 2), (r"(?i)\bI usually ([\p{L} ]{2,40})", 1, 1),
-]
-# (pattern with the value as group 1, family, mode): replace keeps the newest value, accumulate all.
-STATES = [
-    (r"\bI (?:now )?live in ((?:[A-Z]\p{L}+ ?)+)", "residence", "replace"), (r"\bI work (?:at|for) ((?:[A-Z]\p{L}+ ?)+)", "employer", "replace"),
-    (r"\bI am (\d{1,3}) years old", "age", "replace"), (r"\bI have visited ((?:[A-Z]\p{L}+ ?)+)", "visited", "accumulate"),
-]
 CAUSAL = r"(?i)([^.!?]{3,200}?) (because|due to|as a result of) ([^.!?]{3,200})"
 
 
-def _each(rules: list[tuple], extra: tuple[str, str]) -> Column:
-    def one(pattern, a, b):
-        found = F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-        return F.transform(found, lambda v: F.struct(F.trim(v).alias("value"), F.lit(a).alias(extra[0]), F.lit(b).alias(extra[1])))
-
-    return F.explode(F.flatten(F.array(*[one(*r) for r in rules])))
-
-
-def preferences(units: DataFrame) -> DataFrame:
-    """(subject, object, polarity, strength, unit_id): each subject's strongest statement about an object; ties to the later unit."""
-    rows = units.select("unit_id", F.col("speaker").alias("subject"), _each(PREFERENCES, ("polarity", "strength")).alias("p"))
-    rows = rows.select("subject", F.lower("p.value").alias("object"), "p.polarity", "p.strength", "unit_id")
-    best = F.max_by(F.struct("polarity", "strength", "unit_id"), F.struct("strength", "unit_id"))
-    return rows.groupBy("subject", "object").agg(best.alias("b")).select("subject", "object", "b.*")
-
-
-def state_facts(units: DataFrame) -> DataFrame:
-    """(subject, family, value, unit_id, status): replace families have one current value, accumulate families all."""
-    rows = units.select("unit_id", F.col("speaker").alias("subject"), _each(STATES, ("family", "mode")).alias("s")).select("unit_id", "subject", "s.*")
-    newest = F.row_number().over(W.partitionBy("subject", "family").orderBy(F.desc("unit_id")))
-    status = F.when((F.col("mode") == "accumulate") | (F.col("r") == 1), "current").otherwise("historical")
-    return rows.withColumn("r", newest).select("subject", "family", "value", "unit_id", status.alias("status"))
-
-
 def causal_pairs(units: DataFrame) -> DataFrame:
     """(unit_id, effect, cause) of explicit connectives only."""
     part = lambda k: F.regexp_extract_all("text", F.lit(CAUSAL), F.lit(k))
@@ -60,10 +26,9 @@ def aliases(canons: DataFrame, stated: DataFrame | None = None) -> DataFrame:
     candidate for each (A6).  A2: first name and initial, likewise.  Explicit
     statements (alias, canon) are active (A3) and win.
     """
-    full = canons.select("canon").distinct().withColumn("w", F.split("canon", " ")).where(F.size("w") > 1)
-    subset = full.select("canon", F.explode("w").alias("alias")).join(canons.select(F.col("canon").alias("alias")).distinct(), "alias", "left_semi").withColumn("rule", F.lit("A1"))
-    initial = full.where(F.size("w") == 2).select("canon", F.concat(F.col("w")[0], F.lit(" "), F.substring(F.col("w")[1], 1, 1)).alias("alias")).withColumn("rule", F.lit("A2"))
-    rows = subset.unionByName(initial.join(canons.select(F.col("canon").alias("alias")).distinct(), "alias", "left_semi")).where("alias <> canon").distinct()
+    subset = entities.subset_aliases(canons).select("alias", "canon", F.lit("A1").alias("rule"))
+    initial = entities.initial_aliases(canons).withColumn("rule", F.lit("A2"))
+    rows = subset.unionByName(initial)
     n = rows.groupBy("alias").agg(F.countDistinct("canon").alias("n"))
     rows = rows.join(n, "alias").select("alias", "canon", F.when(F.col("n") > 1, "A6").otherwise(F.col("rule")).alias("rule"), F.when(F.col("n") > 1, "candidate").otherwise("active").alias("status"))
     if stated is None:

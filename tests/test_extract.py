@@ -49,14 +49,6 @@ def units(spark, rows):
     return spark.createDataFrame([(i, 1, i, s, t) for i, (s, t) in enumerate(rows)], "unit_id long, session_id long, seq long, speaker string, text string")
 
 
-def test_preferences_and_states(spark):
-    u = units(spark, [("ann", "I like tea. I live in Old Town"), ("ann", "I really love tea!"), ("bob", "I hate tea, I have visited Rome"), ("ann", "Now I live in New York. I have visited Rome"), ("ann", "I have visited Oslo"), ("bob", None)])
-    got = {(r.subject, r.object, r.polarity, r.strength) for r in extract.preferences(u).collect()}
-    assert got == {("ann", "tea", 1, 3), ("bob", "tea", -1, 3)}
-    got = {(r.subject, r.family, r.value, r.status) for r in extract.state_facts(u).collect()}
-    assert got == {("ann", "residence", "Old Town", "historical"), ("ann", "residence", "New York", "current"), ("bob", "visited", "Rome", "current"), ("ann", "visited", "Rome", "current"), ("ann", "visited", "Oslo", "current")}
-
-
 def test_causes_and_aliases(spark):
     u = units(spark, [("ann", "We stayed home because it rained. All fine.")])
     assert [(r.effect, r.cause) for r in extract.causal_pairs(u).collect()] == [("We stayed home", "it rained")]
