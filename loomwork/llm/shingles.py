@@ -1,0 +1,154 @@
+"""Near copies by the exact Jaccard similarity of word shingles.
+
+1. Texts with equal shingle sets form a class; a class has a MinHash signature.
+2. Classes that agree in a whole band of the signature are candidates.  A pair
+   of similarity 0.8 shares no band with probability (1 - 0.8^5)^30 < 7e-6.
+3. Every member of a bucket is verified against the bucket's smallest member;
+   what that links is merged, and all pairs of a bucket that are still in
+   different components are verified next.  So a large group of copies costs
+   about one verification a member, and no pair of candidates is left out.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import accumulate
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomwork.llm.arrow import bound_batches, slices
+from loomwork.llm.graph import connected_components
+from loomwork.scratch import Scratch
+
+BANDS, ROWS = 30, 5
+SLOTS = BANDS * ROWS
+#: Signatures of a pair of similarity s agree in s of all slots, give or take 0.033: six of these are allowed.
+SLACK = 0.2
+_rng = np.random.default_rng(20)
+TIMES = _rng.integers(0, 2**63, SLOTS, np.uint64) * np.uint64(2) + np.uint64(1)
+PLUS = _rng.integers(0, 2**63, SLOTS, np.uint64)
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 of a text's lower-cased (A-Z) word shingles."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(parts)
+    starts = [0, *accumulate(len(p) + 1 for p in parts)]
+    width = min(words, len(parts))
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, starts[width:])], np.uint64))
+
+
+def signature(own: np.ndarray) -> np.ndarray:
+    """MinHash of a shingle set: 32 leading bits in each of SLOTS slots."""
+    low = np.full(SLOTS, 2**64 - 1, np.uint64)
+    for i in range(0, len(own), 2048):
+        low = np.minimum(low, (own[None, i : i + 2048] * TIMES[:, None] + PLUS[:, None]).min(1))
+    return (low >> np.uint64(32)).astype(np.uint32)
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both) - 1e-9
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(id, th, cid, n, sig): text hash, class, number of shingles, signature."""
+    bound_batches(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            sets = [shingle_set(x, words) for x in b.column("text").to_pylist()]
+            cid = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            cols = [b.column("id"), b.column("th"), pa.array(cid), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "th", "cid", "n", "sig"])
+
+    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, th long, cid long, n long, sig binary")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """The ``pairs(u, v)`` of classes with similarity ``least`` or more."""
+    sides = pairs
+    for s in ("u", "v"):
+        sides = sides.join(classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")), s)
+    # a set of n shingles has no partner under least * n of them
+    sides = sides.where((F.least("n_u", "n_v") >= F.greatest("n_u", "n_v") * least - 1e-9) & (F.col("n_u") > 0))
+
+    def alike(batches):
+        for b in batches:
+            if b.num_rows:
+                a, c = (np.frombuffer(b"".join(b.column(x).to_pylist()), np.uint32).reshape(-1, SLOTS) for x in ("sig_u", "sig_v"))
+                keep = pa.array((a == c).mean(1) >= least - SLACK)
+                yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
+
+    scratch = Scratch(docs.sparkSession, "pairs")
+    left = scratch.save(sides.select("u", "v", "sig_u", "sig_v").mapInArrow(alike, "u long, v long"), "alike")
+    wanted = left.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes, "cid").select("cid", F.col("low.id").alias("id"), F.col("low.th").alias("th"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).join(wanted, ["id", "th"])
+    texts = scratch.save(texts.select("cid", "text").dropDuplicates(["cid"]), "texts")
+    both = left.join(texts.select(F.col("cid").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("cid").alias("v"), F.col("text").alias("text_v")), "v")
+
+    def exact(batches):
+        for b in slices(batches, "text_u"):
+            last = {}  # a hub's set serves the rows that follow it
+            keep = []
+            for u, v, a, c in zip(*(b.column(x).to_pylist() for x in ("u", "v", "text_u", "text_v"))):
+                if len(last) > 64:
+                    last.clear()
+                for k, t in ((u, a), (v, c)):
+                    if k not in last:
+                        last[k] = shingle_set(t, words)
+                keep.append(similar(last[u], last[v], least))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
+
+    return scratch.save(both.select("u", "v", "text_u", "text_v").mapInArrow(exact, "u long, v long"), "links")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, component): rows linked by shingle similarity of ``least`` (0.8 or more) or more.
+
+    ``component`` is the smallest id reachable.  Null and word-free texts form
+    one class, texts under ``words`` words are one shingle; rows with a null id
+    are left out.  Extra columns are ignored, an empty table gives an empty
+    result.
+    """
+    if least < 0.8:
+        raise ValueError("the bands are made for a similarity of 0.8 or more")
+    docs = docs.where(F.col(id_col).isNotNull())
+    scratch = Scratch(docs.sparkSession, "shingles")
+    own = scratch.save(_signed(docs, id_col, text_col, words), "own")
+    classes = own.groupBy("cid").agg(F.min(F.struct("id", "th")).alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = scratch.save(classes, "classes")
+    part = lambda b: F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS)))
+    bands = classes.where("n > 0").select("cid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), part)).alias("key"))
+    hubs = bands.groupBy("key").agg(F.min("cid").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "hub")
+    near = scratch.save(bands.join(hubs, "key"), "near")
+    args = (classes, docs, id_col, text_col, words, least)
+
+    star = scratch.save(near.where("cid != hub").select(F.col("hub").alias("u"), F.col("cid").alias("v")).distinct(), "star")
+    links = _verified(star, *args)
+    roots = connected_components(links, scratch)
+    placed = near.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    placed = scratch.save(placed, "placed")
+    split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("size")).where("a < b and size > 2").select("key")
+    open_ = placed.join(split, "key")
+    x, y = (open_.select("key", F.col("cid").alias(c), F.col("root").alias(f"root_{c}")) for c in ("u", "v"))
+    cross = x.join(y, "key").where("u < v and root_u != root_v").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
+    links = links.unionByName(_verified(cross, *args))
+
+    roots = connected_components(links, Scratch(docs.sparkSession, "shingles"))
+    named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.col("low.id").alias("low"), F.coalesce("root", "cid").alias("root"))
+    lows = named.groupBy("root").agg(F.min("low").alias("component"))
+    named = scratch.save(named.join(lows, "root").select("cid", "component"), "named")
+    return own.join(named, "cid").select("id", "component")
