@@ -63,3 +63,19 @@ def test_empty(spark, tmp_path):
 
 def test_simhash_used_with_contract_parameters():
     assert simhash.fingerprint("A b c d", 4) == simhash.fingerprint("a\tB  c\nd", 4)
+
+
+def test_run_returns_the_interleaving(spark, tmp_path):
+    docs_table(spark, str(tmp_path))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = sorted(out.select("source", "mix_slot", "mix_position").collect(), key=lambda r: r.mix_position)
+    assert len({r.mix_position for r in rows}) == len(rows)
+    assert all(r.mix_position // 8 == r.mix_slot for r in rows)
+    # a slot holds one source, and every source has a slot among the first ten
+    slots = {}
+    for r in rows:
+        slots.setdefault(r.mix_slot, set()).add(r.source)
+    assert all(len(s) == 1 for s in slots.values())
+    assert sorted(slots) == list(range(len(slots)))
+    assert set().union(*[slots[t] for t in range(10)]) >= {f"src{k}" for k in range(7)} & {r.source for r in docs.collect()}
