@@ -1,7 +1,7 @@
 """Secret scans: fixed patterns plus a randomness test battery, DataFrame only.
 
 Base spans come from three patterns.  The battery looks at the other long
-letter-digit runs.  For each it infers the encoding, and tests under that
+runs of letters, digits and marks.  For each it infers the encoding, and tests under that
 alphabet
   * uniformity (chi-squared, Wilson-Hilferty),
   * runs above and below the alphabet's middle (Wald-Wolfowitz),
@@ -32,11 +32,18 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 PER_CENT = [8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074]
 # Share of lower-case letters, upper-case letters, digits and marks in natural runs.
 SHARES = (0.72, 0.08, 0.15, 0.05)
+CAPITALS = 0.05  # share of natural runs that are in capitals, the shares of the cases swapped
+# The first that holds the whole run counts, so they go from small to large.
 ALPHABETS = [
+    ("^[0-9]+$", "0123456789"),
     ("^[0-9a-f]+$", "0123456789abcdef"),
     ("^[0-9A-F]+$", "0123456789ABCDEF"),
+    ("^[a-z]+$", "abcdefghijklmnopqrstuvwxyz"),
+    ("^[A-Z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
     ("^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("^[0-9a-z]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
+    ("^[0-9A-Z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("^[A-Za-z]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("^[0-9A-Za-z]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"),
 ]
@@ -44,9 +51,10 @@ LENGTHS = (32, 48, 96)  # length classes: 20-31, 32-47, 48-95, 96 and more
 TOP = 400  # e-values above 10^400 count as 10^400
 
 
-def _natural() -> list[float]:
-    """Log probability of each byte 0..127 in natural runs."""
+def _natural(capitals: bool = False) -> list[float]:
+    """Log probability of each byte 0..127 in natural runs, or in those in capitals."""
     low, up, digit, mark = SHARES
+    low, up = (up, low) if capitals else (low, up)
     total = sum(PER_CENT)
     out = [math.log(1e-6)] * 128
     for c, p in zip(LETTERS, PER_CENT):
@@ -100,12 +108,14 @@ def _battery(token: Column) -> Column:
     for pattern, chars in reversed(ALPHABETS[:-1]):
         alphabet = F.when(body.rlike(pattern), F.lit(chars)).otherwise(alphabet)
     chars = F.filter(F.split(body, "", -1), lambda c: c != "")
-    natural = F.array(*[F.lit(x) for x in _natural()])
+    natural, capitals = (F.array(*[F.lit(x) for x in _natural(c)]) for c in (False, True))
+    likelihood = lambda xs, of: F.aggregate(xs, F.lit(0.0), lambda a, c: a + F.element_at(of, F.ascii(c) + 1))
 
     first = F.transform(F.array(F.struct(alphabet.alias("abc"), chars.alias("chars"))), lambda x: F.struct(
         F.char_length(x["abc"]).cast("double").alias("k"),
         F.transform(x["chars"], lambda c: F.position(c, x["abc"]).cast("double") - 1).alias("u"),
-        F.aggregate(x["chars"], F.lit(0.0), lambda a, c: a + F.element_at(natural, F.ascii(c) + 1)).alias("nat"),
+        # the likelier of the two, each with its share of natural runs
+        F.greatest(likelihood(x["chars"], natural) + math.log(1 - CAPITALS), likelihood(x["chars"], capitals) + math.log(CAPITALS)).alias("nat"),
     ))
 
     def tests(x):
@@ -144,7 +154,7 @@ def findings(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumn("base", base).withColumn("runs", _spans(text, RUN, 3))
     free = F.filter(
         "runs",
-        lambda r: r["token"].rlike("[0-9]") & r["token"].rlike("[A-Za-z]") & ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
+        lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
     )
     tested = F.transform(free, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), _battery(r["token"]).alias("t")))
 

@@ -71,3 +71,21 @@ def test_empty(spark):
 def test_stdlib_tokens(spark):
     got = run(spark, ["key " + stdlib_secrets.token_urlsafe(48) + " end" for _ in range(40)])
     assert sum(bool(g.spans) for g in got.values()) >= 36
+
+
+def test_tokens_of_every_alphabet(spark):
+    r = random.Random(8)
+    upper, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    kinds = {"upper36": upper + digits, "lower36": upper.lower() + digits, "letters": upper + upper.lower(), "upper": upper, "lower": upper.lower(), "digits": digits}
+    cases = [(name, n) for name in kinds for n in ((20,) if name == "digits" else (20, 40, 64) if name != "lower" else (40, 64))]
+    keys = [(c, "".join(r.choice(kinds[c[0]]) for _ in range(c[1]))) for c in cases for _ in range(60)]
+    got = run(spark, [f"see {k} there" for _, k in keys])
+    hit = {c: sum(any(s.start == 4 and s.end == 4 + c[1] for s in got[i].spans) for i in range(len(keys)) if keys[i][0] == c) for c in cases}
+    print(hit)
+    assert all(h >= (45 if n == 20 else 54) for (_, n), h in hit.items()), hit
+
+
+def test_long_words_stay(spark):
+    plain = ["internationalisierungsbemuehungen", "INTERNATIONALISATION", "SOFTWARE-LICENSE-AGREEMENT", "counterrevolutionaries/antidisestablishmentarianism", "--------------------", "====================", "00000000000000000000", "2024-01-01-00-00-00-12", "NevertheLessTheConfigurationOfServers", "THESERVERISNOTAVAILABLETODAY"]
+    got = run(spark, [f"see {p} there" for p in plain])
+    assert [p for i, p in enumerate(plain) if got[i].spans] == []
