@@ -2,8 +2,10 @@
 
 Unit vectors are rotated to their principal axes.  cos >= t means a distance
 of at most eps = sqrt(2 - 2t), so a pair's leading coordinates lie in equal or
-adjacent cells of an eps grid.  Cells are cut in tiles of bounded size; each
-pair of tiles is one group.  Within it, dot products grow by blocks of leading
+adjacent cells of an eps grid.  The grid takes as many leading dimensions as
+still part the vectors, more of them the more vectors there are.  Cells are cut
+in tiles of bounded bytes; each pair of tiles is one group, and pairs of tiles
+whose leading coordinates lie further apart than eps are never formed.  Within it, dot products grow by blocks of leading
 dimensions, and a pair is dropped once the partial product plus the product of
 the suffix norms (Cauchy-Schwarz) stays below t.  Survivors are decided in
 double precision on the original vectors.  A group sends on link counts and a
@@ -12,6 +14,7 @@ spanning forest, never its pairs.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -21,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.llm.graph import connected_components, spanning_forest
-from loomwork.llm.vectors import matrix, prepare, second_moments, usable
+from loomwork.llm.vectors import by_length, matrix, prepare, second_moments, usable
 from loomwork.scratch import Scratch
 
 SLACK = 1e-9  # over rounding of rotated products
@@ -65,23 +68,45 @@ def compare(a: np.ndarray, b: np.ndarray, rotation: np.ndarray, least: float, sa
                     yield lo + i[ok], j[ok]
 
 
-def links(classes: DataFrame, scratch: Scratch, least: float, tile: int = 2048, leading: int = 3) -> DataFrame:
+def leading_dims(moments: np.ndarray, n: int, eps: float, tile: int) -> int:
+    """How many principal axes the grid uses.
+
+    An axis of spread s parts vectors in about 2 s / eps cells, at least one;
+    axes are added until the cells expected hold ``tile`` vectors each or
+    another axis would part nothing.
+    """
+    spread = np.sqrt(np.maximum(np.sort(np.linalg.eigvalsh(moments))[::-1] / max(n, 1), 0))
+    cells, used = 1.0, 0
+    for s in spread[:8]:  # 3^8 adjacent cells at most
+        if used and (cells * tile >= n or 4 * s <= eps):
+            break
+        cells *= max(1.0, 4 * s / eps)
+        used += 1
+    return max(1, used)
+
+
+def links(classes: DataFrame, scratch: Scratch, least: float, tile: int | None = None, leading: int | None = None) -> DataFrame:
     """(u, v, edge): for edge false, class u has v linked other vectors; for
     edge true, u - v belongs to a forest that spans the links.
 
-    ``classes``: (id, n, vec array<double>), distinct vectors and their copies.
+    ``classes``: (id, n, vec), distinct vectors of one length and their copies.
+    ``tile`` bounds the vectors of a tile (4 MB of doubles if not given).
     """
     spark = classes.sparkSession
     top = classes.select(F.size("vec").alias("d")).first()
     if top is None:
         return spark.createDataFrame([], "u long, v long, edge boolean")
     dims = top["d"]
-    leading = min(leading, dims)
-    rotation = axes(second_moments(classes, dims))
+    tile = tile or max(256, (4 << 20) // (8 * dims))
+    moments = second_moments(classes, dims)
+    rotation = axes(moments)
     eps = math.sqrt(max(2 - 2 * least, 0)) + 1e-6
+    leading = min(leading or leading_dims(moments, int(round(float(np.trace(moments)))), eps, tile), dims)
     span = math.floor(1 / eps) + 3  # cells on either side of zero, with a margin
+    leading = max(1, min(leading, int(62 / math.log2(2 * span + 1))))  # a cell number fits in 62 bits
     base = 2 * span + 1
     shared = spark.sparkContext.broadcast(rotation)  # dims * dims
+    kind = classes.schema["vec"].dataType.simpleString()
 
     def place(batches):
         for b in batches:
@@ -92,19 +117,27 @@ def links(classes: DataFrame, scratch: Scratch, least: float, tile: int = 2048,
             cell = np.zeros(len(v), np.int64)
             for k in range(leading):
                 cell = cell * base + np.floor(lead[:, k] / eps).astype(np.int64) + span
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=["id", "n", "vec", "cell"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1, dtype=np.int32) * leading), pa.array(lead.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), lists], names=["id", "n", "vec", "cell", "lead"])
 
-    placed = classes.select("id", "n", "vec").mapInArrow(place, "id long, n long, vec array<double>, cell long")
+    placed = classes.select("id", "n", "vec").mapInArrow(place, f"id long, n long, vec {kind}, cell long, lead array<double>")
     placed = scratch.save(placed, "placed")
     count = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).select("cell", F.ceil(F.col("c") / tile).cast("int").alias("tiles"))
     count = scratch.save(count, "cells")
     tiled = placed.join(count, "cell").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).drop("tiles")
+    # the box of a tile's leading coordinates
+    boxes = tiled.groupBy("cell", "t").agg(
+        F.array(*[F.min(F.col("lead")[k]) for k in range(leading)]).alias("lo"), F.array(*[F.max(F.col("lead")[k]) for k in range(leading)]).alias("hi")
+    )
+    boxes = scratch.save(boxes, "boxes")
     offsets = [sum(d * base**k for k, d in enumerate(o)) for o in itertools.product((-1, 0, 1), repeat=leading)]
-    near = count.select(F.col("cell").alias("c1"), F.col("tiles").alias("n1"), F.explode(F.array(*[F.lit(o).cast("long") for o in offsets if o >= 0])).alias("o"))
-    near = near.withColumn("c2", F.col("c1") + F.col("o")).join(count.select(F.col("cell").alias("c2"), F.col("tiles").alias("n2")), "c2")
-    pairs = near.select("c1", F.explode(F.sequence(F.lit(0), F.col("n1") - 1)).alias("t1"), "c2", "n2")
-    pairs = pairs.select("c1", "t1", "c2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("t2")).where("c1 < c2 or t1 <= t2")
+    near = boxes.select(F.col("cell").alias("c1"), F.col("t").alias("t1"), F.col("lo").alias("lo1"), F.col("hi").alias("hi1"), F.explode(F.array(*[F.lit(o).cast("long") for o in offsets if o >= 0])).alias("o"))
+    near = near.withColumn("c2", F.col("c1") + F.col("o")).join(boxes.select(F.col("cell").alias("c2"), F.col("t").alias("t2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "c2")
+    gap = lambda k: F.greatest(F.lit(0.0), F.col("lo1")[k] - F.col("hi2")[k], F.col("lo2")[k] - F.col("hi1")[k])
+    apart = sum((gap(k) * gap(k) for k in range(leading)), F.lit(0.0))
+    pairs = near.where((F.col("c1") < F.col("c2")) | (F.col("t1") <= F.col("t2"))).where(apart <= eps * eps).select("c1", "t1", "c2", "t2")
     pairs = scratch.save(pairs, "pairs")
+    tiled = tiled.drop("lead")
     key = ["c1", "t1", "c2", "t2"]
     left = tiled.join(pairs, (F.col("cell") == F.col("c1")) & (F.col("t") == F.col("t1"))).select(*key, F.lit(0).alias("side"), "id", "n", "vec")
     other = pairs.where("c1 < c2 or t1 < t2")
@@ -146,26 +179,35 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """(id, n_links, component, kept) of every row; ``least`` in (0, 1].
 
     Equal vectors are compared once as a class and count as links of each
-    other.  Vectors that are null, empty, zero, of an uncommon length or hold
-    null or non-finite components have no links and are their own component.
-    Repeated ids are separate vectors with one name.  An empty table gives an
-    empty result; other columns are ignored.
+    other.  Vectors that are null, empty, zero or hold null or non-finite
+    components have no links and are their own component; so do rows with a
+    null id, whose component is null and which are kept.  Vectors of different
+    length have no cosine: each length is compared within itself.  Repeated ids
+    are separate vectors with one name.  An empty table gives an empty result;
+    other columns are ignored.
     """
     if not 0 < least <= 1:
         raise ValueError("least must be in (0, 1]")
-    scratch = Scratch(rows.sparkSession, "embdedup")
+    spark = rows.sparkSession
+    scratch = Scratch(spark, "embdedup")
     own = scratch.save(prepare(rows, id_col, vec_col), "own")
     classes = own.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"))
+    if rows.schema[vec_col].dataType.simpleString() == "array<float>":  # floats travel as floats, which loses nothing
+        classes = classes.withColumn("vec", F.col("vec").cast("array<float>"))
     classes = scratch.save(classes, "classes")
-    found = links(classes, scratch, least)
+    # a class is a node by its hash, as ids may repeat
+    nodes = classes.select(F.xxhash64("h1", "h2").alias("id"), "n", "vec")
+    parts = [links(part, Scratch(spark, "embdedup"), least) for part in by_length(nodes)]
+    found = functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "u long, v long, edge boolean")
     roots = connected_components(found.where("edge").select("u", "v"), scratch)
     counts = found.where("not edge").groupBy("u").agg(F.sum("v").alias("others"))
-    named = classes.select("h1", "h2", "id", "n").join(counts, F.col("id") == F.col("u"), "left").join(roots, F.col("id") == F.col("node"), "left")
-    named = named.select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("root", "id").alias("component"))
+    named = classes.select("h1", "h2", F.xxhash64("h1", "h2").alias("c"), "id", "n")
+    named = named.join(counts, F.col("c") == F.col("u"), "left").join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
+    named = scratch.save(named.select("h1", "h2", "id", "root", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links")), "named")
+    lows = named.groupBy("root").agg(F.min("id").alias("component"))
+    named = named.join(lows, "root").select("h1", "h2", "n_links", "component")
     done = own.select("id", "h1", "h2").join(named, ["h1", "h2"]).select("id", "n_links", "component")
-    vec = F.col(vec_col).cast("array<double>")
-    size = classes.select(F.size("vec").alias("d")).first()
-    out = rows.where(~(usable(vec) & (F.size(vec) == (size["d"] if size else -1))))
+    out = rows.where(~(usable(F.col(vec_col).cast("array<double>")) & F.col(id_col).isNotNull()))
     out = out.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component"))
     return done.unionByName(out).withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(True)))
 

@@ -15,21 +15,31 @@ def usable(vec: Column) -> Column:
 
 
 def prepare(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """(id, vec array<double>, h1, h2) of usable vectors of the most frequent length.
+    """(id, vec array<double>, h1, h2) of usable vectors with an id.
 
     h1 and h2 are independent 64-bit hashes; equal vectors share both.
     """
     vec = F.col(vec_col).cast("array<double>")
-    own = rows.select(F.col(id_col).alias("id"), vec.alias("vec")).where(usable(F.col("vec")))
-    sizes = own.groupBy(F.size("vec").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), F.desc("n")).first()
-    own = own.where(F.size("vec") == (sizes["n"] if sizes else 0))
+    own = rows.select(F.col(id_col).alias("id"), vec.alias("vec")).where(usable(F.col("vec")) & F.col("id").isNotNull())
+    # -0.0 equals 0.0 but hashes otherwise
+    own = own.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
     return own.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec"))
 
 
+def by_length(vectors: DataFrame, vec_col: str = "vec") -> list[DataFrame]:
+    """The rows of each vector length, shortest first; lengths are few, not data."""
+    sizes = vectors.select(F.size(vec_col).alias("n")).distinct().collect()
+    return [vectors.where(F.size(vec_col) == n) for n in sorted(r["n"] for r in sizes)]
+
+
+def native(column: pa.Array) -> np.ndarray:
+    """[rows, dims] of a list column without nulls, in its own precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
-    """[rows, dims] of a list column without nulls."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(np.float64)
+    """[rows, dims] of a list column without nulls, in double precision."""
+    return native(column).astype(np.float64)
 
 
 def second_moments(classes: DataFrame, dims: int, vec_col: str = "vec") -> np.ndarray:

@@ -49,13 +49,23 @@ def test_small_tiles_change_nothing(spark):
 
 def test_defined_results(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (9, []), (10, [1.0, 0.0]), (11, [-1.0, 0.0])]
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, None]), (8, [1.0]), (9, []), (10, [1.0, 0.0]), (11, [-1.0, 0.0]), (12, [3.0]), (2**60 + 1, [0.0, 1.0]), (2**60 + 3, [0.0, 2.0]), (None, [0.0, 3.0])]
     out = {r.id: (r.n_links, r.component, r.kept) for r in ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
     assert out[1] == (2, 1, True) and out[2] == (2, 1, False) and out[10] == (2, 1, False)
-    assert all(out[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11)) and len(out) == 11
+    assert all(out[i] == (0, i, True) for i in (3, 4, 5, 6, 7, 9, 11)) and len(out) == 15
+    assert out[8] == (1, 8, True) and out[12] == (1, 8, False)  # of length one: compared with each other
+    # ids beyond 2^53 keep every bit; a row without an id links with nothing
+    assert out[2**60 + 1] == (1, 2**60 + 1, True) and out[2**60 + 3] == (1, 2**60 + 1, False) and out[None] == (0, None, True)
     assert ed.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_grid_refines_with_the_rows():
+    moments = np.diag([0.4, 0.3, 0.2, 0.05, 0.05])
+    eps = 0.3
+    few, many = ed.leading_dims(moments * 1e4, 10**4, eps, 4096), ed.leading_dims(moments * 1e9, 10**9, eps, 4096)
+    assert 1 <= few < many <= 5
+
+
 def test_query(spark, sf):
     out = ed.op10_embedding_dedup(spark, sf).toPandas().set_index("vec_id").sort_index()
     raw = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().set_index("vec_id").sort_index()
