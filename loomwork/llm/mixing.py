@@ -1,14 +1,18 @@
 """Mixing sources to target weights by Pfair scheduling, DataFrame operations only.
 
-A source's documents, in hash order, form blocks of ``block_rows``.  Block i of
-a source with weight w is released at floor((i-1)/w) and due at ceil(i/w);
-earliest deadline first among the released blocks fills one slot at a time, so
-every source stays within one block of its share at every moment.
-
-Weights are whole quanta of 1/``quanta``, so the schedule repeats after that
-many slots: the driver plans one period and Spark places all blocks by
-arithmetic.  When a source runs dry, a new phase shares its weight among the
-others in proportion; no document is dropped or repeated.
+A source's documents, in hash order, form blocks.  Sources share the slots in
+proportion to their weights; one that runs dry leaves its share to the others.
+Let I_s(t) be what source s has received after t slots of that ideal, fractional
+schedule.  Block i of s is released at the last whole slot before I_s reaches
+i - 1 and due at the first whole slot after it reaches i; earliest deadline
+first among the released blocks fills one slot at a time.  As the fractional
+schedule meets all windows, so does this one, hence every source stays within
+one block of I_s(t) at every slot.
+
+Weights are used exactly (as rationals), never rounded, and every source has its
+own.  The driver plans whole blocks, ``slots`` of them at most and one for each
+source at least: above ``slots * block_rows`` rows a block has more rows.  Spark
+counts, ranks and places the rows.
 """
 
 from __future__ import annotations
@@ -16,77 +20,93 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 REST = -1
 
 
-def quantise(weights: list[float], quanta: int) -> list[int]:
-    """Largest-remainder shares of ``quanta``, at least 1 each."""
-    total = sum(weights)
-    raw = [w * quanta / total for w in weights]
-    out = [max(1, math.floor(r)) for r in raw]
-    order = sorted(range(len(raw)), key=lambda i: (out[i] - raw[i], i))
-    for i in order[: max(0, quanta - sum(out))]:
-        out[i] += 1
-    while sum(out) > quanta:  # many tiny weights were raised to 1
-        out[max(range(len(out)), key=lambda i: (out[i] - raw[i] if out[i] > 1 else -math.inf, i))] -= 1
+def whole(weights: list) -> list[int]:
+    """The exact ratios of the weights, as whole numbers."""
+    parts = [Fraction(w) for w in weights]
+    scale = math.lcm(*(p.denominator for p in parts)) if parts else 1
+    out = [int(p * scale) for p in parts]
+    shared = math.gcd(*out) if out else 1
+    return [x // max(shared, 1) for x in out]
+
+
+class Ideal:
+    """The fractional schedule: sources of ``blocks`` blocks, served by whole ``weights``."""
+
+    def __init__(self, blocks: list[int], weights: list[int]):
+        # virtual time v: each live source has received v * weight
+        order = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], weights[s]))
+        self.ends = [(blocks[s], weights[s]) for s in order]
+        self.near = np.array([n / w for n, w in self.ends])
+        self.used, self.live = [0], [sum(weights)]
+        for n, w in self.ends:
+            self.used.append(self.used[-1] + n)
+            self.live.append(self.live[-1] - w)
+
+    def phase(self, i: int, w: int, guess: int) -> int:
+        """How many sources have run dry before virtual time i / w."""
+        while guess and self.ends[guess - 1][0] * w >= i * self.ends[guess - 1][1]:
+            guess -= 1
+        while guess < len(self.ends) and self.ends[guess][0] * w < i * self.ends[guess][1]:
+            guess += 1
+        return guess
+
+    def at(self, i: int, w: int, phase: int) -> Fraction:
+        """The slot, as a fraction, at which a source of weight w has received i blocks."""
+        return self.used[phase] + Fraction(i * self.live[phase], w)
+
+    def windows(self, n: int, w: int) -> list[tuple[int, int, int]]:
+        """(release, deadline, phase) of each of a source's n blocks."""
+        guess = np.searchsorted(self.near, np.arange(n + 1) / w)
+        out, last = [], (0, 1)
+        for i in range(1, n + 1):
+            k = self.phase(i, w, int(guess[i]))
+            top = i * self.live[k]
+            out.append((last[0], self.used[k] - (-top // w), k))
+            last = (self.used[k] + top // w, k)
+        return out
+
+
+def schedule(blocks: list[int], weights: list) -> list[list[tuple[int, int]]]:
+    """(slot, phase) of every block of every source, earliest deadline first.
+
+    Each slot from 0 to the number of blocks is used once.
+    """
+    ratios = whole(weights)
+    ideal = Ideal(blocks, ratios)
+    jobs = sorted((r, d, s, i, k) for s, (n, w) in enumerate(zip(blocks, ratios)) for i, (r, d, k) in enumerate(ideal.windows(n, w)))
+    out: list[list[tuple[int, int]]] = [[] for _ in blocks]
+    ready: list[tuple[int, int, int, int]] = []
+    at = 0
+    for t in range(len(jobs)):
+        while at < len(jobs) and jobs[at][0] <= t:
+            heapq.heappush(ready, jobs[at][1:])
+            at += 1
+        d, s, _, k = heapq.heappop(ready)
+        if d <= t:
+            raise AssertionError("a deadline was missed")
+        out[s].append((t, k))
     return out
 
 
-def period(shares: list[int]) -> list[int]:
-    """The task that runs in each slot of one period, earliest deadline first."""
-    total = sum(shares)
-    waiting = [(0, -(-total // q), i, 1) for i, q in enumerate(shares)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for t in range(total):
-        while waiting and waiting[0][0] <= t:
-            _, d, i, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (d, i, k))
-        _, i, k = heapq.heappop(ready)
-        out.append(i)
-        if k < shares[i]:
-            heapq.heappush(waiting, (k * total // shares[i], -(-(k + 1) * total // shares[i]), i, k + 1))
-    return out
-
+def _plan(spark, rows: list[dict]) -> DataFrame:
+    kind = "array<struct<g:bigint,w:array<double>,s:array<bigint>,p:array<int>>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
 
-def phases(blocks: list[int], weights: list[float], quanta: int) -> tuple[list[tuple], list[tuple]]:
-    """Plan of all slots.
 
-    First table: (phase, source, first block, end block, quanta of it, first
-    slot); second: (phase, source, k-th turn in a period, slot in the period).
-    """
-    left, done, plan, turns, start, phase = list(blocks), [0] * len(blocks), [], [], 0, 0
-    quanta = max(quanta, 2 * len(blocks))
-    while any(left):
-        live = [i for i, n in enumerate(left) if n]
-        q = quantise([weights[i] for i in live], quanta)
-        order = period(q)
-        at: list[list[int]] = [[] for _ in live]
-        for t, i in enumerate(order):
-            at[i].append(t)
-        end = min((left[s] - 1) // q[i] * quanta + at[i][(left[s] - 1) % q[i]] + 1 for i, s in enumerate(live))
-        for i, s in enumerate(live):
-            full, part = divmod(end, quanta)
-            n = full * q[i] + sum(1 for t in at[i] if t < part)
-            plan.append((phase, s, done[s], done[s] + n, q[i], start))
-            turns += [(phase, s, k, t) for k, t in enumerate(at[i])]
-            done[s] += n
-            left[s] -= n
-        start += end
-        phase += 1
-    return plan, turns
-
-
-def _table(spark, rows: list[tuple], names: list[str]) -> DataFrame:
-    kind = ",".join(f"{n}:bigint" for n in names)
-    text = json.dumps([dict(zip(names, r)) for r in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{kind}>>")))
+def _row_hash(docs: DataFrame, id_col: str) -> Column:
+    """A hash of the whole row: rows share it only if they are equal (or by 2^-64)."""
+    cols = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(F.col(id_col), *[F.col(f"`{c}`") for c in sorted(cols) if c != id_col])
 
 
 def mix(
@@ -95,78 +115,74 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = 8,
-    quanta: int = 1000,
+    slots: int = 1 << 17,
     alpha: float = 0.5,
-    named: int = 200,
 ) -> DataFrame:
     """``docs`` with mix_group, mix_block, mix_slot, mix_position, mix_phase, mix_weight.
 
-    ``weights`` gives each source's target (relative, positive); sources it
-    leaves out share a group with the mean weight.  Without it, a source of n
-    rows weighs n ** alpha, and sources beyond the ``named`` largest form one
-    group; so the plan's tables are bounded by named ** 2 and named * quanta
-    rows.  A null source is a source of its own; empty sources don't occur;
-    repeated rows are separate rows.  mix_weight is the target in the document's
-    phase, a multiple of 1/quanta, and the one-block bound holds against it from
-    the phase's start.  mix_position is the order of the mixture
-    (not gapless where a source's last block is short).  An empty table gives
-    an empty result.  Extra columns pass through; columns named mix_* are
-    replaced.
+    ``weights`` gives each source's target (relative, positive, any number of
+    sources, floats or exact fractions); sources it leaves out share one group
+    with the mean weight.  Without it, a source of n rows weighs n ** alpha.  A
+    null source is a source of its own; a null id is a value like others;
+    repeated rows are separate rows, and only rows equal in every column are
+    ranked in one task.  A block has ``block_rows`` rows, or more where the rows
+    would fill over ``slots`` blocks; the driver holds a plan of that many
+    numbers, and the number of sources.  Every source stays within one block of
+    its target at every slot; when a source is used up, the others' targets grow
+    in proportion.  mix_phase counts the sources used up before a block is due,
+    mix_weight is the block's target share then.  mix_position is the order of
+    the mixture (not gapless where a source's last block is short).  An empty
+    table gives an empty result.  Extra columns pass through whatever their
+    names; columns with the six names above are replaced.
     """
     spark = docs.sparkSession
+    if weights is not None and any(not w > 0 for w in weights.values()):
+        raise ValueError("weights must be positive")
+    added = ["mix_group", "mix_block", "mix_slot", "mix_position", "mix_phase", "mix_weight"]
+    cols = [c for c in docs.columns if c not in added]
     key = F.when(F.col(source_col).isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(source_col).cast("string")))
-    counts = docs.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    group = F.xxhash64(key)
+    if weights is not None:
+        group = F.when(key.isin(*["=" + k for k in weights]), group).otherwise(F.lit(REST).cast("long"))
+    # the operator's own columns live in one struct, apart from the input's
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), group.alias("g"), _row_hash(docs.select(*[F.col(f"`{c}`") for c in cols]), id_col).alias("h"))
+
+    counts = docs.select(group.alias("g"), key.alias("k")).groupBy("g").agg(F.min("k").alias("k"), F.max("k").alias("k2"), F.count(F.lit(1)).alias("n")).collect()
+    counts = sorted(counts, key=lambda r: (r["g"] == REST, r["k"]))
+    if any(r["k"] != r["k2"] for r in counts if r["g"] != REST or weights is None):
+        raise ValueError("two sources share a hash")
+    rows = sum(r["n"] for r in counts)
+    size = max(block_rows, -(-rows // slots))
     if weights is None:
-        known = [(r["k"], r["n"] ** alpha) for r in counts.orderBy(F.desc("n"), "k").limit(named).collect()]
-        rows = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
-        left = (rows["n"] or 0) - sum(round(w ** (1 / alpha)) for _, w in known) if (rows["k"] or 0) > len(known) else 0
-        rest = max(left, 1) ** alpha
+        shares = [r["n"] ** alpha for r in counts]
     else:
-        if any(not w > 0 for w in weights.values()) or len(weights) > named:
-            raise ValueError("weights must be positive, and no more than `named`")
-        known = sorted(("=" + k, float(w)) for k, w in weights.items())
-        rest = sum(weights.values()) / max(len(weights), 1)
-    group = F.lit(REST)
-    if known:
-        lookup = F.from_json(F.lit(json.dumps({k: i for i, (k, _) in enumerate(known)})), "map<string,int>")
-        group = F.coalesce(F.element_at(lookup, key), F.lit(REST))
-    cols = [c for c in docs.columns if not c.startswith("mix_")]
-    own = docs.select(*cols, group.cast("long").alias("mix_group"), F.xxhash64(F.col(id_col)).alias("mix_h"))
-
-    sizes = {r["mix_group"]: r["n"] for r in counts.withColumn("mix_group", _regroup(known)).groupBy("mix_group").agg(F.sum("n").alias("n")).collect()}
-    ids = sorted(sizes)
-    weight = {i: (known[i][1] if i >= 0 else rest) for i in ids}
-    plan, turns = phases([-(-sizes[i] // block_rows) for i in ids], [weight[i] for i in ids], quanta)
-    plan = [(p, ids[s], a, b, q, t) for p, s, a, b, q, t in plan if b > a]
-    turns = [(p, ids[s], k, t) for p, s, k, t in turns]
-    q_all = max(quanta, 2 * len(ids))
+        mean = sum(Fraction(w) for w in weights.values()) / max(len(weights), 1)
+        shares = [mean if r["g"] == REST else weights[r["k"][1:]] for r in counts]
+    blocks = [-(-r["n"] // size) for r in counts]
+    ratios = whole(shares)
+    live = Ideal(blocks, ratios).live
+    places = schedule(blocks, shares)
+    table = [
+        {"g": r["g"], "s": [t for t, _ in own_], "p": [k for _, k in own_], "w": [w / live[k] for _, k in own_]}
+        for r, own_, w in zip(counts, places, ratios)
+    ]
+    plan = _plan(spark, table).select("g", F.posexplode(F.arrays_zip("s", "p", "w")).alias("b", "x")).select("g", "b", "x.s", "x.p", "x.w")
 
     # rank within the source by hash: bucket of the hash's leading bits, then row number
-    bits = max(1, math.ceil(math.log2(max(2, sum(sizes.values()) / 2000))))
-    own = own.withColumn("mix_b", F.shiftrightunsigned("mix_h", 64 - bits))
-    small = own.groupBy("mix_group", "mix_b").agg(F.count(F.lit(1)).alias("mix_n"))
-    before = F.sum("mix_n").over(W.partitionBy("mix_group").orderBy("mix_b")) - F.col("mix_n")
-    small = small.select("mix_group", "mix_b", before.alias("mix_before"))
-    rank = F.row_number().over(W.partitionBy("mix_group", "mix_b").orderBy("mix_h", F.col(id_col))) - 1
-    own = own.withColumn("mix_r", rank).join(small, ["mix_group", "mix_b"]).withColumn("mix_seq", F.col("mix_r") + F.col("mix_before"))
-    own = own.withColumn("mix_block", F.expr(f"mix_seq div {block_rows}"))
-
-    p = _table(spark, plan, ["mix_phase", "mix_group", "p_from", "p_to", "p_q", "p_start"])
-    t = _table(spark, turns, ["mix_phase", "mix_group", "mix_turn", "t_at"])
-    # both tables are bounded by `named` and `quanta`
-    own = own.join(F.broadcast(p), "mix_group").where("mix_block >= p_from and mix_block < p_to")
-    own = own.withColumn("mix_turn", F.expr("(mix_block - p_from) % p_q"))
-    own = own.join(F.broadcast(t), ["mix_phase", "mix_group", "mix_turn"])
-    slot = F.expr(f"p_start + ((mix_block - p_from) div p_q) * {q_all} + t_at")
-    own = own.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.expr(f"mix_seq % {block_rows}"))
-    return own.select(*cols, "mix_group", "mix_block", "mix_slot", "mix_position", F.col("mix_phase").cast("int").alias("mix_phase"), (F.col("p_q") / q_all).alias("mix_weight"))
-
-
-def _regroup(known):
-    if not known:
-        return F.lit(REST).cast("long")
-    lookup = F.from_json(F.lit(json.dumps({k: i for i, (k, _) in enumerate(known)})), "map<string,int>")
-    return F.coalesce(F.element_at(lookup, F.col("k")), F.lit(REST)).cast("long")
+    bits = max(1, math.ceil(math.log2(max(2, rows / 2000))))
+    own = own.withColumn("bucket", F.shiftrightunsigned("h", 64 - bits))
+    small = own.groupBy("g", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("g").orderBy("bucket")) - F.col("n")
+    small = small.select("g", "bucket", before.alias("before"))
+    rank = F.row_number().over(W.partitionBy("g", "bucket").orderBy("h")) - 1
+    own = own.withColumn("r", rank).join(small, ["g", "bucket"]).withColumn("seq", F.col("r") + F.col("before"))
+    own = own.withColumn("b", F.expr(f"cast(seq div {size} as int)"))
+    out = own.join(plan, ["g", "b"])
+    position = F.col("s") * size + F.expr(f"seq % {size}")
+    return out.select(
+        *[F.col("row").getField(c).alias(c) for c in cols], F.col("g").alias("mix_group"), F.col("b").cast("long").alias("mix_block"),
+        F.col("s").alias("mix_slot"), position.alias("mix_position"), F.col("p").alias("mix_phase"), F.col("w").alias("mix_weight"),
+    )
 
 
 def op4_pfair_mix(spark, sf_dir: str) -> DataFrame:
