@@ -29,3 +29,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
         for lo, hi in zip(cuts, cuts[1:]):
             if hi > lo:
                 yield batch.slice(lo, hi - lo)
+
+
+def fresh_names(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened until none is that of a column (case does not count)."""
+    used, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out

@@ -12,6 +12,8 @@ once, which is exact and keeps the Python loops short at any text length.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,6 +240,8 @@ def fit(texts: list[str], labels: list[str], words_in_lexicon: int = 5000, epoch
     rng = np.random.default_rng(seed)
     ends = np.cumsum(counts)
     segs = [(lo, min(lo + 16, e)) for c, e in zip(counts, ends) for lo in range(e - c, e, 16)]
+    # a language with few words counts for more, up to 50 times
+    balance = np.clip(len(y) / (k * np.maximum(np.bincount(y, minlength=k), 1)), 0.02, 50)
     g_w, g_t = np.full(model.weights.shape, 1e-2), np.full((k, k), 1e-2)
     for _ in range(epochs):
         rng.shuffle(segs)
@@ -253,6 +258,7 @@ def fit(texts: list[str], labels: list[str], words_in_lexicon: int = 5000, epoch
             truth = y[words]
             delta = -gamma
             delta[np.arange(len(words)), truth] += 1
+            delta *= balance[truth][:, None]
             seen = np.zeros((k, k))
             inner = np.ones(len(words), bool)
             inner[np.cumsum(lens) - lens] = False
@@ -287,34 +293,43 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
     return out, score
 
 
-def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = 800, longest: int = 20_000) -> Model:
-    """Fit on about ``sample`` labelled texts of at most ``longest`` characters.
+def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", each: int = 200, longest: int = 20_000) -> Model:
+    """Fit on up to ``each`` labelled texts of every language, however rare it is.
 
-    Rows are drawn by id hash at the rate that gives ``sample`` rows; never
-    more than twice as many, so the driver holds 2 * sample * longest
-    characters at most.
+    Rows are drawn by hash.  A text of over ``longest`` characters teaches with
+    a piece of that length, from a place drawn by hash, so that the driver has
+    at most each * longest characters of a language; languages are labels, a few
+    of them.  Null texts teach nothing.
     """
-    known = docs.where(F.col(lang_col).isNotNull())
-    rows = known.count()
-    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.lit("crf")), 11) / float(1 << 53)
-    drawn = known.where((h < sample / max(rows, 1)) & (F.char_length(text_col) <= longest))
-    drawn = drawn.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h"))
-    rows = drawn.orderBy("h", "lang", F.xxhash64("text")).limit(2 * sample).select("text", "lang").toPandas()
+    h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("crf")), 11) / float(1 << 53)
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = known.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
+        return fit([], [])
+    # a rate that leaves each language enough rows, and never all rows of a frequent one in one task
+    rates = F.from_json(F.lit(json.dumps({r["lang"]: min(1.0, (each + 6 * math.sqrt(each)) / r["n"]) for r in counts})), "map<string,double>")
+    drawn = known.where(F.col("h") < F.element_at(rates, F.col("lang")))
+    start = F.floor(F.pmod(F.col("h") * 1e6, F.lit(1.0)) * F.greatest(F.char_length("text") - longest, F.lit(0))) + 1
+    drawn = drawn.select(F.substring("text", start.cast("int"), F.lit(longest)).alias("text"), "lang", "h")
+    order = W.partitionBy("lang").orderBy("h", F.xxhash64("text"))
+    rows = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
+    rows = rows.orderBy("h", "lang", F.xxhash64("text")).select("text", "lang").toPandas()
     return fit(rows["text"].tolist(), rows["lang"].tolist())
 
 
-def label(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and lang_score.
+def label(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:
+    """``docs`` with lang_pred and lang_score, or as ``pred_col`` and ``score_col`` say.
 
     A null text, or one without a letter, is `und` with score 0, and so is all
     if nothing was learned.  Every word of a text counts, however long it is.
-    Repeated rows and extra columns pass through; columns named lang_pred or
-    lang_score are replaced.  An empty table gives an empty result.
+    Repeated rows and extra columns pass through; columns named like
+    the two are replaced.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS + lexicon rows
-    src = docs.drop("lang_pred", "lang_score")
+    src = docs.drop(pred_col, score_col)
     at = src.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,9 +338,9 @@ def label(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 raise AssertionError("columns moved")
             for c in slices(iter([b]), text_col, 2 << 20):
                 lang, score = predict(shared.value, c.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*c.schema.names, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*c.schema.names, pred_col, score_col])
 
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    fields = [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     return src.mapInArrow(run, T.StructType([*src.schema.fields, *fields]))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.arrow import bound_batches, slices
+from loomwork.llm.arrow import bound_batches, fresh_names, slices
 from loomwork.scratch import Scratch
 
 NAMES = ["log_words", "word_length", "upper", "digits", "marks", "odd_marks", "distinct", "top_word", "line_repeats", "piped", "letters", "long_words", "upper_words", "mark_runs"]
@@ -90,15 +90,16 @@ def with_features(docs: DataFrame, text_col: str = "text", out_col: str = "featu
     """``docs`` without the text, plus its features."""
     bound_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c not in (text_col, out_col)]
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    (hidden,) = fresh_names(keep, "source_text")
+    src = docs.select(*keep, F.col(text_col).cast("string").alias(hidden))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "__text"):
-            flat = np.array([features(t) for t in b.column("__text").to_pylist()]).ravel()
+        for b in slices(batches, hidden):
+            flat = np.array([features(t) for t in b.column(hidden).to_pylist()]).ravel()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(NAMES)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), lists], names=[*keep, out_col])
 
-    return src.mapInArrow(run, T.StructType([*src.drop("__text").schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))]))
+    return src.mapInArrow(run, T.StructType([*src.drop(hidden).schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))]))
 
 
 def learn(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = 20_000) -> Logistic:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomwork.llm.arrow import bound_batches, slices
+from loomwork.llm.arrow import bound_batches, fresh_names, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -213,12 +213,13 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
     bound_batches(spark)
     shared = _share(spark, model)
     keep = [c for c in docs.columns if c not in (text_col, out_col, check_col)]
-    src = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    (hidden,) = fresh_names(keep, "source_text")
+    src = docs.select(*keep, F.col(text_col).cast("string").alias(hidden))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for b in slices(batches, "__text", 4 << 20):
-            texts = b.column("__text").to_pylist()
+        for b in slices(batches, hidden, 4 << 20):
+            texts = b.column(hidden).to_pylist()
             ids = codec.encode(texts)
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=offsets[1:])
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
 
     names = [*keep, out_col, *[check_col] * bool(check_col)]
     added = [T.StructField(out_col, T.ArrayType(T.IntegerType())), *[T.StructField(check_col, T.BooleanType())] * bool(check_col)]
-    schema = T.StructType([*src.drop("__text").schema.fields, *added])
+    schema = T.StructType([*src.drop(hidden).schema.fields, *added])
     return src.mapInArrow(run, schema)
 
 

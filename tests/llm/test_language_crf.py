@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 
@@ -79,3 +80,15 @@ def test_held_out_accuracy(spark):
     own = out[out.held_out]
     assert 0.15 < len(own) / len(out) < 0.35
     assert (own.lang_pred == own.lang).mean() > 0.97
+
+
+def test_rare_languages_and_long_texts_are_learned(spark):
+    r = random.Random(2)
+    vocab = {"en": "the house of man and dog is on hill with old tree".split(), "fi": "talo on vanha ja koira istuu puun alla metsassa".split(), "pl": "dom jest stary a pies siedzi pod drzewem lesie".split()}
+    make = lambda k, n: " ".join(r.choice(vocab[k]) for _ in range(n))
+    rows = [(i, make("en", 12), "en") for i in range(3000)] + [(5000 + i, make("fi", 12), "fi") for i in range(8)]
+    rows += [(6000 + i, make("pl", 5000), "pl") for i in range(2)] + [(None, None, "xx"), (7000, "x", None)]
+    model = crf.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["en", "fi", "pl"]
+    langs, _ = crf.predict(model, [make("fi", 15), make("pl", 15), make("en", 15)])
+    assert langs == ["fi", "pl", "en"]

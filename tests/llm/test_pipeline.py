@@ -4,8 +4,8 @@ import re
 import sentencepiece
 
 import corpus_pipeline
-from loomwork.llm import sentencepiece_trie, simhash
-from tests.llm.test_simhash import components, slow_fp
+from loomwork.llm import sentencepiece_trie
+from tests.llm.test_simhash_sets import components
 
 
 def docs_table(spark, path):
@@ -29,7 +29,7 @@ def test_equals_brute_force(spark, tmp_path):
     got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     lettered = {i: t for i, t in sorted(texts.items()) if t and re.search("[^\\W\\d_]", t)}
     ids = list(lettered)
-    comp = components([slow_fp(lettered[i]) for i in ids])
+    comp = components([lettered[i] for i in ids])
     kept = {ids[k] for k in range(len(ids)) if comp[k] == k}
     assert set(got) == kept
     sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_trie.MODEL)
@@ -61,8 +61,31 @@ def test_empty(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_simhash_used_with_contract_parameters():
-    assert simhash.fingerprint("A b c d", 4) == simhash.fingerprint("a\tB  c\nd", 4)
+def test_clashing_names_come_through_unchanged(spark, tmp_path):
+    names = "lang_pred string, LANG_SCORE double, runs int, spans int, base int, candidates int, mix_slot int, mix_position int, h int, g int, th string, id int, ids int, text_hash int, row int, source_text string"
+    rows = [(i, f"le chat est sur la table numero {i} password=hunter{i}xx de la maison" + " bleue" * i, "fr", f"s{i % 2}", 9, "p", 0.5, 1, 2, 3, 4, 5, 6, 7, 8, "t", 9, 10, 11, 12, "u") for i in range(20)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars int, {names}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema.simpleString() == docs.schema.simpleString(), name
+        got = {tuple(r)[5:] for r in out.collect()}
+        assert got == {rows[0][5:]}, name
+    assert corpus_pipeline.tokenize(spark, docs, "").count() == 20
+
+
+def test_equal_ids_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(3, a), (5, b), (5, a), (5, b), (None, a), (7, None), (8, "")], "doc_id long, text string")
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(0, a), (3, a), (5, b), (7, "")])
+
+
+def test_very_long_text(spark):
+    long = "le chat est dans la maison " * 60_000
+    docs = spark.createDataFrame([(1, long, "fr", "s", len(long)), (2, "le chat noir est dans la rue", "fr", None, 28), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert {r.doc_id: r.n_tokens > 100_000 for r in docs.collect()} == {1: True, 2: False}
 
 
 def test_run_returns_the_interleaving(spark, tmp_path):
