@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that all executors share.
 
 Iterative operators cut their lineage by writing Parquet here and reading it
-back.  The folder is the session's ``spark.checkpoint.dir``; where that is
-unset (local tests) a temporary folder of the driver is used.
+back.  The folder is the session's ``spark.checkpoint.dir``, or what
+``setCheckpointDir`` named; where both are unset a temporary folder of the
+driver serves a local session, and any other session is refused.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
+_made: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    named = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        return named.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="loomwork-"))
         atexit.register(shutil.rmtree, _local[0], True)
@@ -34,6 +41,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+        _made.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -47,3 +55,14 @@ class Scratch:
         jvm = self.spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def mark() -> int:
+    """A point in time for ``sweep``."""
+    return len(_made)
+
+
+def sweep(since: int) -> None:
+    """Delete what operators have written since ``mark()``; call it once their results are written elsewhere."""
+    while len(_made) > since:
+        _made.pop().drop()
