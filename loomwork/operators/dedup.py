@@ -15,6 +15,13 @@ def exact_groups(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.join(groups, "digest").select("id", "group_id", "n")
 
 
+def classes(rows: DataFrame, id_col: str, text_col: str, k: int = 3) -> DataFrame:
+    """(id, class_id): rows of equal shingle sets share their smallest id; rows without words are left out."""
+    own = rows.select(F.col(id_col).alias("id"), F.array_sort(text.shingles(text.tokens(F.col(text_col)), k)).alias("s")).where(F.size("s") > 0)
+    own = own.select("id", F.sha2(F.to_json(F.struct("s")), 256).alias("h"))
+    return own.join(own.groupBy("h").agg(F.min("id").alias("class_id")), "h").select("id", "class_id")
+
+
 def near_links(rows: DataFrame, id_col: str, text_col: str, k: int = 3, least: float = 0.85) -> DataFrame:
     """(a, b, jaccard) between representatives of equal shingle sets, a < b.
 

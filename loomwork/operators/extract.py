@@ -9,14 +9,33 @@ from pyspark.sql import functions as F
 from loomwork.functions import text
 from loomwork.operators import entities
 
-CAUSAL = r"(?i)([^.!?]{3,200}?) (because|due to|as a result of) ([^.!?]{3,200})"
+# fixed values: the explicit connectives, longest first, and the side on which the cause stands
+CONNECTIVES = (
+    ("which is why", r"which\s+is\s+why", "before"),
+    ("as a result of", r"as\s+a\s+result\s+of", "after"),
+    ("as a result", r"as\s+a\s+result", "before"),
+    ("because", r"because", "after"),
+    ("due to", r"due\s+to", "after"),
+    ("therefore", r"therefore", "before"),
+    ("so", r"so", "before"),
+)
+NOT_AFTER_SO = ("that", "this", "much", "many", "few", "little", "far", "long", "often")
 
 
 def causal_pairs(units: DataFrame) -> DataFrame:
-    """(unit_id, effect, cause) of explicit connectives only."""
-    part = lambda k: F.regexp_extract_all("text", F.lit(CAUSAL), F.lit(k))
-    rows = units.select("unit_id", F.explode(F.arrays_zip(part(1).alias("effect"), part(3).alias("cause"))).alias("c"))
-    return rows.select("unit_id", F.trim("c.effect").alias("effect"), F.trim("c.cause").alias("cause"))
+    """(unit_id, sentence, connective, effect, cause): each sentence's first connective, both clauses non-empty.
+
+    Sentences end at . ! or ?; of connectives that start at one place the longest wins.
+    """
+    s = units.select("unit_id", F.posexplode(F.split("text", r"[.!?]+", -1)).alias("sentence", "t"))
+    word = "(?i)(?<![A-Za-z0-9_])(" + "|".join(p for _, p, _ in CONNECTIVES[:-1]) + r"|so(?!\s+(?:" + "|".join(NOT_AFTER_SO) + r")(?![A-Za-z0-9_])))(?![A-Za-z0-9_])"
+    s = s.withColumn("at", F.regexp_instr("t", F.lit(word))).where("at > 0").withColumn("hit", F.regexp_substr("t", F.lit(word)))
+    s = s.withColumn("connective", F.lower(F.regexp_replace("hit", r"\s+", " ")))
+    clean = lambda c: F.regexp_replace(c, r"^[\s,;:]+|[\s,;:]+$", "")
+    left, right = clean(F.expr("substring(t, 1, at - 1)")), clean(F.expr("substring(t, at + length(hit))"))
+    after = F.col("connective").isin(*[n for n, _, side in CONNECTIVES if side == "after"])
+    s = s.select("unit_id", F.col("sentence").cast("long").alias("sentence"), "connective", F.when(after, left).otherwise(right).alias("effect"), F.when(after, right).otherwise(left).alias("cause"))
+    return s.where("effect <> '' and cause <> ''")
 
 
 def aliases(canons: DataFrame, stated: DataFrame | None = None) -> DataFrame:

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomwork.scratch import Scratch
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int = 20) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(seed, node, depth): nodes reached from each seed with their least depth.
 
-    ``edges(src, dst)``; safe on cycles; stops when a round finds nothing new.
+    ``edges(src, dst)``; safe on cycles; goes on until a round finds nothing new,
+    or for ``depth`` rounds where a walk of bounded length is asked for.
     """
     scratch = Scratch(edges.sparkSession, "reach")
     edges = edges.select("src", "dst").distinct()
     seen = seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("depth", F.lit(0))
     seen = scratch.save(seen, "r0")
-    for k in range(1, depth + 1):
+    for k in itertools.count(1) if depth is None else range(1, depth + 1):
         ahead = seen.where(F.col("depth") == k - 1).join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         fresh = ahead.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(k))
         new = scratch.save(seen.unionByName(fresh), f"r{k}")

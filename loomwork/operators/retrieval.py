@@ -20,7 +20,7 @@ FIELDS = ["text", "speaker", "session"]
 def units(conversations: DataFrame) -> DataFrame:
     """(unit_id, session_id, seq, speaker, text): one turn per row."""
     return conversations.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("unit_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("role").alias("speaker"), "text"
+        (F.col("conv_id") * 4294967296 + F.col("turn")).alias("unit_id"), F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("role").alias("speaker"), "text"
     )
 
 

@@ -19,18 +19,18 @@ PRONOUN = r"\b(he|she|him|her|his|hers)\b"
 
 
 def events(units: DataFrame) -> DataFrame:
-    """(unit_id, subject, family, verb, object, negated): one tuple per family a text states.
+    """(unit_id, subject, family, verb, object, negated): one tuple per event that a text states.
 
     The subject is the capitalised name before the verb, else the unit's
     speaker for "I" and "we"; without either there is no tuple.
     """
-    def one(family: str, verbs: str):
+    def all_of(family: str, verbs: str):
         p = rf"\b(I|We|we|{NAME}) (never |also |just |)({verbs.replace(' ', '|')}) (?:to |with |the |an? |my |)([\p{{L}}0-9'\-]+)"
-        hit = F.struct(F.regexp_extract("text", p, 1).alias("who"), F.lit(family).alias("family"), F.regexp_extract("text", p, 3).alias("verb"),
-                       F.lower(F.regexp_extract("text", p, 4)).alias("object"), (F.regexp_extract("text", p, 2) == "never ").alias("negated"))
-        return F.when(F.col("text").rlike(p), hit)
+        part = lambda k: F.regexp_extract_all("text", F.lit(p), F.lit(k))
+        hits = F.arrays_zip(part(1).alias("who"), part(2).alias("mood"), part(3).alias("verb"), part(4).alias("object"))
+        return F.transform(hits, lambda h: F.struct(h["who"].alias("who"), F.lit(family).alias("family"), h["verb"].alias("verb"), F.lower(h["object"]).alias("object"), (h["mood"] == "never ").alias("negated")))
 
-    found = F.filter(F.array(*[one(f, v) for f, v in FAMILIES.items()]), lambda x: x.isNotNull())
+    found = F.flatten(F.array(*[all_of(f, v) for f, v in FAMILIES.items()]))
     rows = units.select("unit_id", "speaker", F.explode(found).alias("e"))
     who = F.when(F.col("e.who").isin("I", "We", "we"), F.lower("speaker")).otherwise(F.lower("e.who"))
     return rows.select("unit_id", who.alias("subject"), "e.family", "e.verb", "e.object", "e.negated").where("subject is not null")

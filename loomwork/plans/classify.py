@@ -70,12 +70,15 @@ def line_spans(spark, d):
     return k.where(F.length("t") >= 12).select("doc_id", "line", form.alias("form"), F.length("t").cast("long").alias("chars"))
 
 
-@query("utf8_spans", """SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, decode(encode(text)[1:20]) AS quote FROM documents WHERE text IS NOT NULL AND regexp_matches(text[1:20], '^[\\x20-\\x7E]{20}$')""")
+@query("utf8_spans", """WITH b AS (SELECT doc_id, text, strlen(text[1:10]) AS byte_start, strlen(text[1:40]) AS byte_end FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, strlen(text) AS bytes, length(text) AS chars, byte_start, byte_end, text[11:40] AS quote FROM b""")
 def utf8_spans(spark, d):
-    """A byte-range quote of each document whose first twenty bytes are printable."""
-    docs = load(spark, d, "documents").where(F.substring("text", 1, 20).rlike(r"^[\x20-\x7E]{20}$"))
-    quote = F.decode(F.substring(F.encode("text", "UTF-8"), 1, 20), "UTF-8")
-    return docs.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("chars"), quote.alias("quote"))
+    """A byte-range quote of every document: characters 11 to 40 by their byte offsets, cut from the encoded text."""
+    docs = load(spark, d, "documents").where("text is not null")
+    size = lambda n: F.octet_length(F.substring("text", 1, n)).cast("long")
+    b = docs.select("doc_id", "text", size(10).alias("byte_start"), size(40).alias("byte_end"))
+    quote = F.decode(F.expr("substring(encode(text, 'UTF-8'), cast(byte_start as int) + 1, cast(byte_end - byte_start as int))"), "UTF-8")
+    return b.select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.length("text").cast("long").alias("chars"), "byte_start", "byte_end", quote.alias("quote"))
 
 
 @query("normalised_digest", """SELECT sha256(trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g'), ' ')) AS digest, count(*) AS docs, min(doc_id) AS first FROM documents GROUP BY 1""")

@@ -56,24 +56,26 @@ def facet_bonus(spark, d):
     return t.select("qid", "unit_id", F.round(scoring.rrf(F.lit(1.0), F.col("rank")) + bonus, 9).alias("score"))
 
 
-@query("merged_edges", """WITH s AS (SELECT conv_id, conv_id * 1000 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
+@query("merged_edges", """WITH s AS (SELECT conv_id, conv_id * 4294967296 + turn AS id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations),
 e AS (SELECT a.id AS src, b.id AS dst, 0.8::DOUBLE AS w FROM s a JOIN s b USING (conv_id) WHERE b.pos - a.pos = 1
 UNION ALL SELECT a.id, b.id, 0.3::DOUBLE FROM s a JOIN s b USING (conv_id) WHERE b.pos - a.pos BETWEEN 1 AND 4)
 SELECT src, dst, round(sum(w), 6) AS weight, count(*) AS kinds FROM e GROUP BY 1, 2""")
 def merged_edges(spark, d):
     """Adjacent and same-session edges of type weights 0.8 and 0.3; duplicates add."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    u = load(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    u = load(spark, d, "conversations").withColumn("id", F.col("conv_id") * 4294967296 + F.col("turn"))
     near = F.array(*[F.struct(F.lead("id", k).over(w).alias("dst"), F.lit(x).alias("w")) for k, x in ((1, 0.8), (1, 0.3), (2, 0.3), (3, 0.3), (4, 0.3))])
     e = u.select(F.col("id").alias("src"), near.alias("n")).select("src", F.explode("n").alias("n")).where("n.dst is not null")
     return e.groupBy("src", F.col("n.dst").alias("dst")).agg(F.round(F.sum("n.w"), 6).alias("weight"), F.count(F.lit(1)).alias("kinds"))
 
 
-@query("identifier_equivalence", r"""WITH v AS (SELECT doc_id, unnest(regexp_extract_all(text, 'https?://[A-Za-z0-9./_?=&%#-]+')) AS url FROM documents),
-k AS (SELECT doc_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[/.#?]+$', '') AS key FROM v)
-SELECT key, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM k GROUP BY 1""")
+@query("identifier_equivalence", r"""WITH v AS (SELECT page_id, url FROM pages UNION ALL SELECT page_id, unnest(regexp_extract_all(html, 'https?://[A-Za-z0-9./_?=&%#-]+')) FROM pages),
+k AS (SELECT page_id, regexp_replace(regexp_replace(lower(url), '^https?://(www\.)?', ''), '[/.#?]+$', '') AS key FROM v)
+SELECT key, count(DISTINCT page_id) AS pages, min(page_id) AS first FROM k GROUP BY 1""")
 def identifier_equivalence(spark, d):
     """URLs that differ in scheme, www or trailing marks share a key."""
-    v = load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"https?://[A-Za-z0-9./_?=&%#-]+"), F.lit(0))).alias("url"))
-    k = v.select("doc_id", F.regexp_replace(F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", ""), r"[/.#?]+$", "").alias("key"))
-    return k.groupBy("key").agg(F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first"))
+    p = load(spark, d, "pages").select("page_id", "url", "html")
+    inner = F.regexp_extract_all("html", F.lit(r"https?://[A-Za-z0-9./_?=&%#-]+"), F.lit(0))
+    v = p.select("page_id", F.explode(F.concat(F.array("url"), inner)).alias("url"))
+    k = v.select("page_id", F.regexp_replace(F.regexp_replace(F.lower("url"), r"^https?://(www\.)?", ""), r"[/.#?]+$", "").alias("key"))
+    return k.groupBy("key").agg(F.countDistinct("page_id").alias("pages"), F.min("page_id").alias("first"))

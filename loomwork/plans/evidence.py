@@ -93,21 +93,21 @@ def supersession_chain(spark, d):
     return e.select("event_id", "user_id", F.col("us").alias("valid_from"), F.lead("us").over(w).alias("valid_to"), F.lead("event_id").over(w).isNull().alias("current"))
 
 
-@query("adjacent_turns", """WITH u AS (SELECT conv_id, conv_id * 1000 + turn AS unit_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)
+@query("adjacent_turns", """WITH u AS (SELECT conv_id, conv_id * 4294967296 + turn AS unit_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS pos FROM conversations)
 SELECT a.unit_id AS src, b.unit_id AS dst, (b.pos - a.pos)::BIGINT AS step FROM u a JOIN u b USING (conv_id) WHERE b.pos - a.pos IN (1, 2)""")
 def adjacent_turns(spark, d):
     w = W.partitionBy("conv_id").orderBy("turn")
-    u = load(spark, d, "conversations").withColumn("unit_id", F.col("conv_id") * 1000 + F.col("turn"))
+    u = load(spark, d, "conversations").withColumn("unit_id", F.col("conv_id") * 4294967296 + F.col("turn"))
     u = u.select("unit_id", F.array(*[F.struct(F.lit(k).cast("long").alias("step"), F.lead("unit_id", k).over(w).alias("dst")) for k in (1, 2)]).alias("n"))
     return u.select(F.col("unit_id").alias("src"), F.explode("n").alias("n")).where("n.dst is not null").select("src", "n.dst", "n.step")
 
 
-@query("descendants", """WITH RECURSIVE u AS (SELECT conv_id, conv_id * 1000 + turn AS id, lead(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
+@query("descendants", """WITH RECURSIVE u AS (SELECT conv_id, conv_id * 4294967296 + turn AS id, lead(conv_id * 4294967296 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations),
 r AS (SELECT id AS seed, id AS node, 0 AS depth FROM u WHERE id % 1000 = 0 UNION SELECT r.seed, u.nxt, r.depth + 1 FROM r JOIN u ON u.id = r.node WHERE u.nxt IS NOT NULL)
 SELECT seed, node, min(depth)::INTEGER AS depth FROM r GROUP BY 1, 2""")
 def descendants(spark, d):
     w = W.partitionBy("conv_id").orderBy("turn")
-    u = load(spark, d, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    u = load(spark, d, "conversations").withColumn("id", F.col("conv_id") * 4294967296 + F.col("turn"))
     edges = u.select(F.col("id").alias("src"), F.lead("id").over(w).alias("dst")).where("dst is not null")
     return lineage.reach(edges, u.where("id % 1000 = 0").select(F.col("id").alias("node")))
 

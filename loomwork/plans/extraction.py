@@ -23,13 +23,19 @@ def episode_segmentation(spark, d):
     return extract.episodes(_units(spark, d))
 
 
-CAUSE = extract.CAUSAL.replace("(?i)", "")
+SAID = """(1, 'The build broke because the cache was full. We paused as a result of the alert!'), (2, 'Rain fell, so the game moved. It was so much fun.'),
+(3, 'Tests failed; therefore we waited. As a result, nobody shipped. Costs rose due to demand'), (4, 'The key leaked, which is why we rotated it? Because of rain'), (5, 'So be it. nothing here, also'), (6, NULL)"""
 
+# the expected rows, read off the sentences above by hand
+CAUSES = """(1, 0, 'because', 'The build broke', 'the cache was full'), (1, 1, 'as a result of', 'We paused', 'the alert'), (2, 0, 'so', 'the game moved', 'Rain fell'),
+(3, 0, 'therefore', 'we waited', 'Tests failed'), (3, 2, 'due to', 'Costs rose', 'demand'), (4, 0, 'which is why', 'we rotated it', 'The key leaked')"""
 
-@query("causal_pairs", f"""WITH {UNITS}, c AS (SELECT unit_id, unnest(regexp_extract_all(text, '{extract.CAUSAL}', 1)) AS effect, unnest(regexp_extract_all(text, '{extract.CAUSAL}', 3)) AS cause FROM u)
-SELECT unit_id, trim(effect, ' ') AS effect, trim(cause, ' ') AS cause FROM c""")
+
+@query("causal_pairs", f"SELECT unit_id::BIGINT AS unit_id, sentence::BIGINT AS sentence, connective, effect, cause FROM (VALUES {CAUSES}) AS v(unit_id, sentence, connective, effect, cause)")
 def causal_pairs(spark, d):
-    return extract.causal_pairs(_units(spark, d))
+    """Explicit causes in all units (invented words, so none) and in stated sentences."""
+    said = spark.sql(f"SELECT CAST(unit_id AS BIGINT) AS unit_id, text FROM VALUES {SAID} AS v(unit_id, text)")
+    return extract.causal_pairs(_units(spark, d).where("unit_id > 6").select("unit_id", "text").unionByName(said))
 
 
 @query("stemmed_vocabulary")

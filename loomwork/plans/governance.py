@@ -14,11 +14,13 @@ from loomwork.plans.registry import load, query
 from loomwork.plans.retrieval import UNITS, tok
 
 
-@query("generation_fence", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events WHERE event_id <= 700 AND user_id < 100) WHERE r = 1")
+@query("generation_fence", """SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS r FROM events
+WHERE event_id <= (SELECT max(event_id) * 7 // 10 FROM events)) WHERE r = 1""")
 def generation_fence(spark, d):
-    """Rows of a scope, pinned at a generation: the newest version of each key up to it."""
-    e = load(spark, d, "events").where("event_id <= 700 and user_id < 100")
-    return e.groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
+    """All scopes, pinned at a generation (seven tenths of the newest): the newest version of each key up to it."""
+    e = load(spark, d, "events")
+    pin = e.agg(F.expr("max(event_id) * 7 div 10").alias("pin"))  # one row
+    return e.join(F.broadcast(pin), F.col("event_id") <= F.col("pin")).groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"))
 
 
 @query("eligible_units", f"""WITH {UNITS} SELECT unit_id FROM u WHERE unit_id % 13 <> 0 AND session_id NOT IN (SELECT item_id FROM benchmark WHERE item_id % 3 = 0)""")
@@ -43,7 +45,7 @@ def grant_authorization(spark, d):
     g = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") > 1, F.expr("s_suppkey div 2")).alias("parent"), (F.col("s_suppkey") % 7 != 0).alias("live"))
     live = g.where("live")
     edges = live.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst"))
-    return lineage.reach(edges, live.where("parent is null").select(F.col("id").alias("node")), depth=64).select(F.col("node").alias("id")).distinct()
+    return lineage.reach(edges, live.where("parent is null").select(F.col("id").alias("node"))).select(F.col("node").alias("id")).distinct()
 
 
 @query("purge_impact", """SELECT DISTINCT o_orderkey AS source, 'line' AS kind, l_orderkey * 10 + l_linenumber AS object FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 0
@@ -105,8 +107,15 @@ def deletion_closure(spark, d):
     return lineage.reach(e, spark.range(1).select(F.lit(5).cast("long").alias("node"))).select("node", "depth")
 
 
-@query("idempotent_capture", "SELECT min(doc_id) AS receipt, count(*) AS submissions, sha256(source || chr(31) || text) AS key FROM documents GROUP BY source, text")
+CAPTURED = "(-1, NULL, 'a'), (-2, NULL, 'b'), (-3, 's', NULL), (-4, 's', NULL), (-5, NULL, 'a'), (-6, 'null', 'a')"
+
+
+@query("idempotent_capture", f"""WITH c AS (SELECT doc_id, source, text FROM documents UNION ALL SELECT * FROM (VALUES {CAPTURED}) AS v(doc_id, source, text))
+SELECT min(doc_id) AS receipt, count(*) AS submissions, sha256(coalesce('=' || source, 'null') || chr(31) || coalesce('=' || text, 'null')) AS key FROM c GROUP BY source, text""")
 def idempotent_capture(spark, d):
-    """Resubmissions of one (origin, content) collapse onto the first receipt."""
-    key = F.sha2(F.concat("source", F.lit("\x1f"), "text").cast("binary"), 256)
-    return load(spark, d, "documents").groupBy(key.alias("key")).agg(F.min("doc_id").alias("receipt"), F.count(F.lit(1)).alias("submissions"))
+    """Resubmissions of one (origin, content) collapse onto the first receipt; a null part equals only another null."""
+    more = spark.sql(f"SELECT CAST(doc_id AS BIGINT) AS doc_id, source, text FROM VALUES {CAPTURED} AS v(doc_id, source, text)")
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    key = F.sha2(F.concat(part(F.col("source")), F.lit("\x1f"), part(F.col("text"))).cast("binary"), 256)
+    both = load(spark, d, "documents").select("doc_id", "source", "text").unionByName(more)
+    return both.groupBy(key.alias("key")).agg(F.min("doc_id").alias("receipt"), F.count(F.lit(1)).alias("submissions"))

@@ -34,17 +34,21 @@ def entity_lane(spark, d):
     return g.select("qid", "unit_id", "hits", F.round(F.col("s") + F.when(F.col("hits") >= 2, F.log(F.col("hits").cast("double"))).otherwise(0.0), 5).alias("score"))
 
 
-@query("co_mention_edges", f"""WITH {ENT}, p AS (SELECT a.unit_id AS src, b.unit_id AS dst, sum(1.0 / df)::DOUBLE AS w FROM m a JOIN m b ON a.canon = b.canon AND a.unit_id <> b.unit_id JOIN c ON c.canon = a.canon WHERE df BETWEEN 2 AND 40 GROUP BY 1, 2),
-r AS (SELECT src, dst, round(w, 9) AS weight, row_number() OVER (PARTITION BY src ORDER BY round(w, 9) DESC, dst) AS r FROM p) SELECT src, dst, weight FROM r WHERE r <= 8""")
+@query("co_mention_edges", f"""WITH {ENT}, o AS (SELECT DISTINCT canon, unit_id, df FROM m JOIN c USING (canon) WHERE df >= 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY canon ORDER BY unit_id) AS pos FROM o)
+SELECT a.unit_id AS src, b.unit_id AS dst, round(sum(1.0 / a.df), 9)::DOUBLE AS weight FROM k a JOIN k b ON a.canon = b.canon AND b.pos - a.pos BETWEEN 1 AND 8 GROUP BY 1, 2""")
 def co_mention_edges(spark, d):
-    """Units sharing a canon, 1/df each; canons of more than 40 units carry no edge, as their weight is below the floor."""
-    m = _mentions(spark, d)
-    df = m.groupBy("canon").agg(F.count(F.lit(1)).alias("df")).where("df between 2 and 40")
-    k = m.join(df, "canon")
-    p = k.select("canon", "df", F.col("unit_id").alias("src")).join(k.select("canon", F.col("unit_id").alias("dst")), "canon").where("src <> dst")
-    e = p.groupBy("src", "dst").agg(F.round(F.sum(1 / F.col("df")), 9).alias("weight"))
-    r = F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))
-    return e.withColumn("r", r).where("r <= 8").select("src", "dst", "weight")
+    """Units sharing a canon, 1/df each: every mention with its next eight in order, so a frequent canon costs no more a mention.
+
+    Edges point from the earlier unit to the later one; walks use them both ways.
+    """
+    m = _mentions(spark, d).select("canon", "unit_id").distinct()
+    df = m.groupBy("canon").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
+    w = W.partitionBy("canon").orderBy("unit_id")
+    ahead = F.array(*[F.lead("unit_id", k).over(w) for k in range(1, 9)])
+    e = m.join(df, "canon").select(F.col("unit_id").alias("src"), "df", ahead.alias("ahead"))
+    e = e.select("src", "df", F.explode("ahead").alias("dst")).where("dst is not null")
+    return e.groupBy("src", "dst").agg(F.round(F.sum(1 / F.col("df")), 9).alias("weight"))
 
 
 @query("phrase_flag", f"""WITH {BM} SELECT qid, unit_id, contains(' ' || array_to_string({tok('u.text')}, ' ') || ' ', ' ' || array_to_string(({tok('q.query')})[1:2], ' ') || ' ') AS phrase

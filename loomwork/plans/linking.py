@@ -22,7 +22,7 @@ def _names(spark, d):
     return pair.union(i.where("i % 3 = 1").select(F.element_at("w", F.col("i")).alias("canon"))).distinct()
 
 
-@query("query_linking", f"""WITH RECURSIVE {NAMES}, q AS (SELECT conv_id * 1000 + turn AS qid, {tok('text')} AS w FROM conversations WHERE conv_id % 20 = 0),
+@query("query_linking", f"""WITH RECURSIVE {NAMES}, q AS (SELECT conv_id * 4294967296 + turn AS qid, {tok('text')} AS w FROM conversations WHERE conv_id % 20 = 0),
 g AS (SELECT qid, i::INTEGER AS start, n::INTEGER AS n, array_to_string(w[i:i + n - 1], ' ') AS canon FROM (SELECT qid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM q, (VALUES (1), (2), (3), (4)) v(n) WHERE len(w) >= n)),
 h AS (SELECT * FROM g WHERE canon IN (SELECT canon FROM names)),
 b AS (SELECT qid, start, max(n) AS n, arg_max(canon, n) AS canon FROM h GROUP BY 1, 2),
@@ -30,7 +30,7 @@ t AS (SELECT qid, start, n, canon FROM (SELECT *, row_number() OVER (PARTITION B
  UNION ALL SELECT x.qid, x.start, x.n, x.canon FROM (SELECT b.*, row_number() OVER (PARTITION BY b.qid ORDER BY b.start) AS r FROM t JOIN b ON b.qid = t.qid AND b.start >= t.start + t.n) x WHERE r = 1)
 SELECT qid, start, canon FROM t""")
 def query_linking(spark, d):
-    q = load(spark, d, "conversations").where("conv_id % 20 = 0").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
+    q = load(spark, d, "conversations").where("conv_id % 20 = 0").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("qid"), F.col("text").alias("query"))
     return entities.link(q, _names(spark, d))
 
 
@@ -62,12 +62,12 @@ def exact_id_lane(spark, d):
     return hit.select("needle", "event_id", F.when(own, 1).otherwise(2).alias("tier"))
 
 
-@query("scope_lane", "SELECT conv_id * 1000 + turn AS unit_id, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS rank FROM conversations WHERE role = 'user' QUALIFY rank <= 200")
+@query("scope_lane", "SELECT conv_id * 4294967296 + turn AS unit_id, row_number() OVER (PARTITION BY role ORDER BY conv_id DESC, turn DESC) AS rank FROM conversations WHERE role = 'user' QUALIFY rank <= 200")
 def scope_lane(spark, d):
     """All units of one speaker, newest first, up to the lane's pool of 200."""
     u = load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn").orderBy(F.desc("conv_id"), F.desc("turn")).limit(200)
     r = F.row_number().over(W.orderBy(F.desc("conv_id"), F.desc("turn"))).cast("long")
-    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit_id"), r.alias("rank"))
+    return u.select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("unit_id"), r.alias("rank"))
 
 
 @query("source_lane", f"""WITH s AS (SELECT page_id AS id, {tok("regexp_replace(html, '<[^>]*>', ' ', 'g')")} AS w FROM pages), n AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS avglen FROM s),

@@ -33,9 +33,10 @@ def semi_join(spark, d):
     return load(spark, d, "customer").join(load(spark, d, "orders").where("o_orderstatus = 'O'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey", "c_name")
 
 
-@query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def anti_join(spark, d):
-    return load(spark, d, "customer").join(load(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
+    urgent = load(spark, d, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
+    return load(spark, d, "customer").join(urgent, F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey")
 
 
 @query("left_outer_join", "SELECT c_custkey, count(o_orderkey) AS n_orders, round(coalesce(sum(o_totalprice), 0), 2) AS total FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
@@ -79,9 +80,9 @@ def set_intersection(spark, d):
     return e.where("event_type = 'signup'").select("user_id").intersect(e.where("event_type = 'error'").select("user_id"))
 
 
-@query("set_difference", "SELECT l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
+@query("set_difference", "SELECT l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45 EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity >= 45")
 def set_difference(spark, d):
-    l = load(spark, d, "lineitem")
+    l = load(spark, d, "lineitem").where("l_quantity >= 45")
     return l.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p")).subtract(l.where("l_returnflag = 'A'").select("l_partkey"))
 
 
@@ -121,9 +122,9 @@ def predicate_tree_query(spark, d):
     return load(spark, d, "events").where(predicate_tree(tree)).select("event_id")
 
 
-@query("substring_join", "SELECT p_partkey, n_name FROM part JOIN nation ON contains(lower(p_name || ' ' || p_type), lower(substring(n_name, 1, 2)))")
+@query("substring_join", "SELECT p_partkey, n_name FROM part JOIN nation ON contains(lower(p_name || ' ' || p_type || ' ' || p_brand || '|'), right(n_name, 1) || '|')")
 def substring_join(spark, d):
     """Theta-join against a table of fixed size (nation), which is broadcast."""
-    p = load(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
-    n = F.broadcast(load(spark, d, "nation").select("n_name", F.lower(F.substring("n_name", 1, 2)).alias("needle")))
+    p = load(spark, d, "part").select("p_partkey", F.concat(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), F.lit("|")).alias("t"))
+    n = F.broadcast(load(spark, d, "nation").select("n_name", F.concat(F.right("n_name", F.lit(1)), F.lit("|")).alias("needle")))
     return p.join(n, F.contains("t", "needle")).select("p_partkey", "n_name")

@@ -17,7 +17,7 @@ def tok(expr: str) -> str:
     return TOK.format(f"coalesce({expr}, '')").replace("{{", "{").replace("}}", "}")
 
 
-UNITS = "u AS (SELECT conv_id * 1000 + turn AS unit_id, conv_id AS session_id, turn AS seq, role AS speaker, text FROM conversations)"
+UNITS = "u AS (SELECT conv_id * 4294967296 + turn AS unit_id, conv_id AS session_id, turn AS seq, role AS speaker, text FROM conversations)"
 POSTINGS = f"""{UNITS},
 f AS (SELECT unit_id, 'text' AS field, {tok('text')} AS w FROM u
       UNION ALL SELECT unit_id, 'speaker', {tok('speaker')} FROM u
@@ -154,15 +154,16 @@ def fuzzy_respelling(spark, d):
 
 @query(
     "dense_lane",
-    """WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id < 10),
+    """WITH q AS (SELECT vec_id AS qid, embedding AS qv FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT qid, vec_id, round(list_cosine_similarity(qv::DOUBLE[], embedding::DOUBLE[]), 6) AS score FROM q, embeddings WHERE vec_id <> qid)
 SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
 )
 def dense_lane(spark, d):
-    """Exact cosine top-k of ten stated queries over all rows; the queries ride along as one broadcast row."""
+    """Exact cosine top-k of the stated queries (ids divisible by 20) over all rows, in blocks of queries."""
     e = load(spark, d, "embeddings")
-    q = e.where("vec_id < 10").agg(F.collect_list(F.struct(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))).alias("qs"))
-    pairs = e.join(F.broadcast(q)).select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.qid")
+    q = e.where("vec_id % 20 = 0").select(F.expr("vec_id div 2560").alias("block"), F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"))
+    blocks = q.groupBy("block").agg(F.collect_list(F.struct("qid", "qv")).alias("qs"))  # 128 queries a block
+    pairs = e.crossJoin(blocks).select("vec_id", "embedding", F.explode("qs").alias("q")).where("vec_id <> q.qid")
     s = pairs.select(F.col("q.qid").alias("qid"), F.col("vec_id").alias("unit_id"), scoring.cosine(F.col("q.qv"), F.col("embedding")).alias("score"))
     return R.top(s, 10).select("qid", F.col("unit_id").alias("vec_id"), "score", F.col("rank").cast("long").alias("rank"))
 

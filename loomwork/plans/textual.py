@@ -16,15 +16,29 @@ def exact_duplicates(spark, d):
     return dedup.exact_groups(load(spark, d, "documents"), "doc_id", "text")
 
 
-@query("near_duplicate_links", f"""WITH {UNITS}, t AS (SELECT unit_id AS id, {tok('text')} AS w FROM u),
-s AS (SELECT id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) ELSE [array_to_string(w, ' ')] END AS s FROM t WHERE len(w) > 0),
-reps AS (SELECT list_sort(s) AS s, min(id) AS id FROM s GROUP BY 1),
+NEAR = """(-1, 'One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen'),
+(-2, 'one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen.'),
+(-3, 'one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen'),
+(-4, 'one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen'),
+(-5, 'two three four five six seven'), (-6, 'a b'), (-7, 'B A')"""
+
+
+@query("near_duplicate_links", f"""WITH {UNITS}, a AS (SELECT unit_id AS id, text FROM u UNION ALL SELECT * FROM (VALUES {NEAR}) AS v(id, text)), t AS (SELECT id, {tok('text')} AS w FROM a),
+s AS (SELECT id, list_sort(CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' '))) ELSE [array_to_string(w, ' ')] END) AS s FROM t WHERE len(w) > 0),
+reps AS (SELECT s, min(id) AS id FROM s GROUP BY 1),
 x AS (SELECT id, len(s) AS n, unnest(s) AS x FROM reps),
-pr AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE / (min(a.n) + min(b.n) - count(*)) AS jaccard FROM x a JOIN x b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
-SELECT a, b, round(jaccard, 9) AS jaccard FROM pr WHERE jaccard >= 0.85""")
+pr AS (SELECT a.id AS a, b.id AS b, count(*)::DOUBLE / (min(a.n) + min(b.n) - count(*)) AS jaccard FROM x a JOIN x b ON a.x = b.x AND a.id <> b.id GROUP BY 1, 2),
+k AS (SELECT a, count(*) AS n, round(max(jaccard), 9) AS nearest FROM pr WHERE jaccard >= 0.85 GROUP BY 1)
+SELECT s.id, reps.id AS class_id, coalesce(n, 0) AS n_links, nearest FROM s JOIN reps USING (s) LEFT JOIN k ON k.a = reps.id""")
 def near_duplicate_links(spark, d):
-    out = dedup.near_links(R.units(load(spark, d, "conversations")), "unit_id", "text")
-    return out.withColumn("jaccard", F.round("jaccard", 9))
+    """Every unit with the class of its shingle set (its smallest id), the number of other classes it links to, and the nearest of these."""
+    units = R.units(load(spark, d, "conversations")).select(F.col("unit_id").alias("id"), "text")
+    units = units.unionByName(spark.sql(f"SELECT CAST(id AS BIGINT) AS id, text FROM VALUES {NEAR} AS v(id, text)"))
+    links = dedup.near_links(units, "id", "text")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "jaccard"))
+    n = both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("jaccard"), 9).alias("nearest"))
+    rows = dedup.classes(units, "id", "text").join(n, F.col("class_id") == F.col("a"), "left")
+    return rows.select("id", "class_id", F.coalesce("n", F.lit(0)).alias("n_links"), "nearest")
 
 
 @query("token_estimate", r"""SELECT doc_id, greatest(ceil(octet_length(encode(text)) / 4.0 + len(regexp_extract_all(text, '[.,;:!?]')) * 0.25),
@@ -77,14 +91,17 @@ def entity_mentions(spark, d):
     return m.groupBy(F.lower("surface").alias("canon")).agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("unit_id").alias("units"))
 
 
-@query("substring_lane", """WITH q AS (SELECT substring(text, 11, 8) AS needle, item_id FROM benchmark WHERE item_id % 5 = 0)
+@query("substring_lane", """WITH q AS (SELECT item_id, text[11:18] AS needle FROM benchmark WHERE length(text) >= 18)
 SELECT item_id, doc_id FROM q JOIN documents ON contains(documents.text, needle)""")
 def substring_lane(spark, d):
-    """Byte-exact containment of a stated set of needles; all needles ride along as one broadcast row."""
-    q = load(spark, d, "benchmark").where("item_id % 5 = 0").agg(F.collect_list(F.struct("item_id", F.substring("text", 11, 8).alias("needle"))).alias("qs"))
-    hit = load(spark, d, "documents").select("doc_id", "text").join(F.broadcast(q))
-    found = hit.select("doc_id", F.explode(F.expr("filter(qs, q -> contains(text, q.needle))")).alias("q"))
-    return found.select("q.item_id", "doc_id")
+    """Byte-exact containment of every item's needle of eight characters, as an equi-join on the documents' distinct character 8-grams."""
+    q = load(spark, d, "benchmark").where("length(text) >= 18").select("item_id", F.substring("text", 11, 8).alias("gram"))
+    # only grams that start like some needle travel: a set of bounded size, 2^16 hash flags
+    flags = q.agg(F.collect_set(F.pmod(F.xxhash64(F.substring("gram", 1, 3)), F.lit(1 << 16)).cast("int")).alias("flags"))
+    docs = load(spark, d, "documents").where("length(text) >= 8").select("doc_id", "text")
+    grams = docs.select("doc_id", F.expr("explode(array_distinct(transform(sequence(1, length(text) - 7), i -> substring(text, i, 8))))").alias("gram"))
+    near = grams.join(F.broadcast(flags), F.array_contains("flags", F.pmod(F.xxhash64(F.substring("gram", 1, 3)), F.lit(1 << 16)).cast("int")))
+    return near.join(q, "gram").select("item_id", "doc_id")
 
 
 @query("benchmark_overlap", f"""WITH b AS (SELECT item_id, {tok('text')} AS w FROM benchmark), bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM b),

@@ -135,12 +135,12 @@ def corroboration(spark, d):
     return g.agg(F.count(F.lit(1)).alias("submissions"), F.countDistinct("source").alias("submitters")).where("submissions > 1")
 
 
-@query("roots", """WITH e AS (SELECT conv_id * 1000 + turn AS id, lag(conv_id * 1000 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM conversations)
+@query("roots", """WITH e AS (SELECT conv_id * 4294967296 + turn AS id, lag(conv_id * 4294967296 + turn) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM conversations)
 SELECT id FROM e WHERE id NOT IN (SELECT id FROM e WHERE parent IS NOT NULL)""")
 def roots(spark, d):
     """Nodes that no derivation edge enters."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    u = load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lag("turn").over(w).isNotNull().alias("derived"))
+    u = load(spark, d, "conversations").select((F.col("conv_id") * 4294967296 + F.col("turn")).alias("id"), F.lag("turn").over(w).isNotNull().alias("derived"))
     return u.select("id").join(u.where("derived").select("id"), "id", "left_anti")
 
 
