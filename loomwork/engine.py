@@ -9,11 +9,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomwork.operators import dedup, retrieval
+from loomwork.operators.index import TermIndex
 
 UNITS = T.StructType([
     T.StructField("unit_id", T.LongType()), T.StructField("session_id", T.LongType()), T.StructField("seq", T.LongType()),
@@ -25,6 +25,7 @@ GONE = T.StructType([T.StructField("unit_id", T.LongType()), T.StructField("gene
 class Engine:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.index = TermIndex(spark, f"{self.path}/index")
 
     def _read(self, table: str, schema: T.StructType) -> DataFrame:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
@@ -42,28 +43,33 @@ class Engine:
         known = set(rows.columns)
         cols = [(F.col(f.name) if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in UNITS.fields[:-1]]
         rows.select(*cols, F.lit(g).cast("long").alias("generation")).dropDuplicates(["unit_id"]).write.mode("append").parquet(f"{self.path}/units")
+        self.index.add(self._read("units", UNITS).where(F.col("generation") == g), g)
+        self.index.settle(self.live(g), g)
         return g
 
     def forget(self, ids: DataFrame) -> int:
         """Erase units by (unit_id); an erased unit returns only if ingested again."""
         g = self.generation() + 1
         ids.select(F.col("unit_id").cast("long").alias("unit_id"), F.lit(g).cast("long").alias("generation")).distinct().write.mode("append").parquet(f"{self.path}/erased")
+        self.index.settle(self.live(g), g)
         return g
 
-    def units(self, as_of: int | None = None) -> DataFrame:
-        """Live units at a generation (the newest by default)."""
+    def live(self, as_of: int | None = None) -> DataFrame:
+        """(unit_id, generation): the newest version of every unit that is not erased."""
         limit = F.lit(as_of if as_of is not None else (1 << 62))
-        u = self._read("units", UNITS).where(F.col("generation") <= limit)
-        newest = F.row_number().over(W.partitionBy("unit_id").orderBy(F.desc("generation")))
-        u = u.withColumn("r", newest).where("r = 1").drop("r")
+        u = self._read("units", UNITS).where(F.col("generation") <= limit).groupBy("unit_id").agg(F.max("generation").alias("generation"))
         gone = self._read("erased", GONE).where(F.col("generation") <= limit).groupBy("unit_id").agg(F.max("generation").alias("erased"))
-        return u.join(gone, "unit_id", "left").where("erased is null or erased < generation").drop("erased")
+        return u.join(gone, "unit_id", "left").where("erased is null or erased < generation").select("unit_id", "generation")
+
+    def units(self, as_of: int | None = None) -> DataFrame:
+        """Live units at a generation (the newest by default)."""
+        return self._read("units", UNITS).join(self.live(as_of), ["unit_id", "generation"], "left_semi").select(*[f.name for f in UNITS])
 
     def search(self, query: str | DataFrame, limit: int = 10, context: bool = False, as_of: int | None = None) -> DataFrame:
         """(qid, rank, unit_id, score, text) of the best units."""
         q = query if isinstance(query, DataFrame) else self.spark.range(1).select(F.lit(0).cast("long").alias("qid"), F.lit(query).alias("query"))
         u = self.units(as_of)
-        s = retrieval.bm25f(u, q)
+        s = self.index.search(q, self.live(as_of), as_of if as_of is not None else (1 << 62))
         if context:
             s = retrieval.propagate(retrieval.top(s, 50), u)
         return retrieval.top(s, limit).join(u.select("unit_id", "text"), "unit_id").select("qid", "rank", "unit_id", "score", "text")

@@ -64,9 +64,12 @@ def _by_field(values: dict[str, float]) -> Column:
 
 def bm25f(u: DataFrame, queries: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """(qid, unit_id, score): fielded BM25 of every unit that holds a query term."""
-    p = postings(u, fields)
-    stats = statistics(u, fields).withColumn("avglen", F.col("total_len") / F.col("n_units"))
-    terms = query_terms(queries)
+    return score(postings(u, fields), statistics(u, fields), query_terms(queries))
+
+
+def score(p: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, unit_id, score) from postings that hold at least all postings of the query's terms."""
+    stats = stats.withColumn("avglen", F.col("total_len") / F.col("n_units"))
     hit = p.join(terms, "term").join(F.broadcast(stats), "field")  # one row per field
     share = 1 - _by_field(scoring.FIELD_B) + _by_field(scoring.FIELD_B) * F.col("len") / F.col("avglen")
     hit = hit.withColumn("part", _by_field(scoring.FIELD_WEIGHTS) * F.col("tf") / share)

@@ -25,4 +25,4 @@ def load(spark, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-from loomwork.plans import answers, classify, composite, evaluation, evidence, exchange, extraction, facts, governance, lanes, linking, relational, retrieval, sieving, standard, statements, textual, trials, versions  # noqa: E402, F401
+from loomwork.plans import answers, classify, composite, evaluation, evidence, exchange, extraction, facts, governance, lanes, linking, policy, relational, retrieval, sieving, standard, statements, textual, trials, versions  # noqa: E402, F401

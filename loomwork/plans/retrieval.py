@@ -193,3 +193,16 @@ def rank_boosts(spark, d):
     base = 1 - 0.9 * F.percent_rank().over(W.partitionBy("qid").orderBy("rank"))
     b = scoring.boost((F.col("unit_id") % 100) / 100, (F.col("unit_id") % 7) / 7, (F.col("unit_id") % 3) / 3)
     return t.withColumn("base", base).select("qid", "unit_id", F.round(F.col("base") * b, 6).alias("boosted"))
+
+
+@query("indexed_search", f"WITH {BM} SELECT qid, unit_id, score, rank FROM bm WHERE rank <= 10")
+def indexed_search(spark, d):
+    """The flagship's results from a stored index: built in two generations, the second replacing some units of the first."""
+    from loomwork.engine import Engine
+    from loomwork.scratch import Scratch
+
+    e, u = Engine(spark, Scratch(spark, "index").path("store")), _units(spark, d)
+    draft = F.when(F.col("session_id") % 4 == 0, F.lit("draft to be replaced")).otherwise(F.col("text"))
+    e.ingest(u.where("session_id % 3 <> 0").withColumn("text", draft))
+    e.ingest(u.where("session_id % 3 = 0 or session_id % 4 = 0"))
+    return e.search(_queries(spark, d), 10).select("qid", "unit_id", "score", F.col("rank").cast("long").alias("rank"))
