@@ -7,7 +7,9 @@
    histogram over all fingerprints; a dynamic programme gives each fingerprint
    unequal thresholds t_i >= -1 with sum tau - m + 1 that minimise its expected
    candidates.  Two fingerprints within tau must agree within t_i in some
-   partition i, so probing loses no link.
+   partition i, so probing loses no link.  Four partitions of 16 bits or two of
+   32, whichever costs less for the number of fingerprints: wide ones need more
+   probes, but their candidates stay few where 16 bits no longer tell apart.
 4. Probes meet the index in key-sorted streams, pairs are verified by popcount,
    and each batch sends on only a spanning forest, never all pairs of a group.
    Index buckets over ``chunk`` rows are split and hot probe values salted.
@@ -15,6 +17,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -188,50 +191,109 @@ def _histogram(fps: DataFrame, groups: list[list[int]]) -> np.ndarray:
     return flat.reshape(len(groups), size)
 
 
-def linked(fps: DataFrame, scratch: Scratch, tau: int = 4, parts: int = 4, max_radius: int = 2, chunk: int = 4096) -> DataFrame:
+PAIR_COST = 0.02  # comparing a candidate, against sending a probe
+
+
+def expected_cost(n: int, parts: int, tau: int) -> float:
+    """Probes and candidates of a fingerprint among n even ones, at the cheapest thresholds of the right sum."""
+    width, total = BITS // parts, tau - parts + 1
+    ball = [0.0, *accumulate(float(math.comb(width, r)) for r in range(max(total, 0) + parts))]  # radius -1, 0, 1, ...
+    cost = [0.0 if t == 0 else b + PAIR_COST * b * n / 2.0**width for t, b in enumerate(ball)]
+    best = {0: 0.0}
+    for _ in range(parts):
+        new: dict[int, float] = {}
+        for at, c in best.items():
+            for t in range(-1, len(cost) - 1):
+                if c + cost[t + 1] < new.get(at + t, math.inf):
+                    new[at + t] = c + cost[t + 1]
+        best = new
+    return best[total]
+
+
+class Partitions:
+    """Values, expected candidates and splits of partitions made of whole 16-bit groups.
+
+    Counts come from the groups' histograms; a partition of several groups is
+    taken to have them independent, which affects costs but never results.
+    """
+
+    def __init__(self, groups: list[list[int]], hist: np.ndarray, parts: int, radius: int, chunk: int):
+        self.joined, self.parts, self.radius, self.chunk = len(groups) // parts, parts, radius, chunk
+        self.groups, self.hist, self.n = groups, hist, max(float(hist[0].sum()), 1.0)
+        self.width = sum(map(len, groups[: self.joined]))
+        near = np.stack([ball_counts(h, radius) for h in hist])
+        self.shell = np.diff(near, axis=1, prepend=0).astype(np.float32)  # group, radius, value
+        self.masks = [np.array([sum(1 << b for b in c) for r in range(t + 1) for c in combinations(range(self.width), r)], np.int64) for t in range(radius + 1)]
+
+    def split(self, k: int, values: np.ndarray) -> list[np.ndarray]:
+        return [(values >> (16 * j)) & 0xFFFF for j in range(self.joined)]
+
+    def values(self, fp: np.ndarray) -> np.ndarray:
+        """[rows, parts]"""
+        v = part_values(fp, self.groups).reshape(len(fp), self.parts, self.joined)
+        return (v << (16 * np.arange(self.joined))).sum(2)
+
+    def near(self, k: int, values: np.ndarray) -> np.ndarray:
+        """[radius + 1, rows]: expected fingerprints within each radius of the values."""
+        total = None
+        for j, v in enumerate(self.split(k, values)):
+            own = self.shell[k * self.joined + j][:, v]
+            if total is None:
+                total = own
+            else:
+                total = np.stack([sum(total[a] * own[r - a] for a in range(r + 1)) for r in range(self.radius + 1)]) / self.n
+        return np.cumsum(total, axis=0)
+
+    def present(self, k: int, values: np.ndarray) -> np.ndarray:
+        """False where no fingerprint has the value; such probes need not travel."""
+        return np.logical_and.reduce([self.hist[k * self.joined + j][v] > 0 for j, v in enumerate(self.split(k, values))])
+
+    def spread(self, k: int, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks of the index rows of each value, and salts of its probes."""
+        at = self.near(k, values)
+        chunks = np.maximum(1, np.ceil(at[0] / self.chunk)).astype(np.int64)
+        return chunks, np.maximum(1, -(-at[min(1, self.radius)].astype(np.int64) // (16 * chunks * self.chunk)))
+
+
+def linked(fps: DataFrame, scratch: Scratch, tau: int = 4, parts: int | None = None, max_radius: int | None = None, chunk: int = 4096) -> DataFrame:
     """Edges (u, v) that connect all fingerprints within ``tau`` bits.
 
     ``fps(fp long)`` holds distinct fingerprints.  The edges span the same
     components as all links, without listing all pairs of a dense group.
+    ``parts`` is 1, 2 or 4; if not given, 2 or 4 by the expected cost.
     """
     spark = fps.sparkSession
-    width = BITS // parts
-    total = tau - parts + 1
-    if BITS % parts or parts * max_radius < total:
-        raise ValueError("parts must divide 64 and max_radius reach tau - parts + 1")
     co, n = _bit_counts(fps)
-    groups = group_bits(co, n, parts)
-    hist = _histogram(fps, groups)
-    near = np.stack([ball_counts(h, max_radius) for h in hist])  # parts, radius, values
-    masks = [np.array([sum(1 << b for b in c) for r in range(t + 1) for c in combinations(range(width), r)], np.int64) for t in range(max_radius + 1)]
-    chunks = np.maximum(1, -(-hist // chunk))
-    salts = np.maximum(1, -(-near[:, min(1, max_radius)].astype(np.int64) // (16 * chunk)))
-    plan = spark.sparkContext.broadcast((groups, near.astype(np.float32), masks, chunks.astype(np.int32), salts.astype(np.int32)))
+    parts = parts or min((4, 2), key=lambda p: expected_cost(n, p, tau))
+    total = tau - parts + 1
+    max_radius = max_radius or max(2, -(-total // parts))
+    if parts not in (1, 2, 4) or parts * max_radius < total:
+        raise ValueError("parts must be 1, 2 or 4, and max_radius reach tau - parts + 1")
+    groups = group_bits(co, n, 4)
+    plan = spark.sparkContext.broadcast(Partitions(groups, _histogram(fps, groups), parts, max_radius, chunk))  # 4 * 2^16 counts
 
     def probe(batches):
-        groups, near, masks, chunks, salts = plan.value
+        p = plan.value
         for b in batches:
             raw = np.asarray(b.column("fp"))
             fp = raw.view(np.uint64)
-            values = part_values(fp, groups)
+            values = p.values(fp)
             mixed = (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-            cost = np.zeros((len(fp), len(groups), len(masks) + 1), np.float32)
-            for k in range(len(groups)):
-                for t, m in enumerate(masks):
-                    cost[:, k, t + 1] = near[k, t][values[:, k]] + len(m)
+            cost = np.zeros((len(fp), p.parts, len(p.masks) + 1), np.float32)
+            for k in range(p.parts):
+                cost[:, k, 1:] = p.near(k, values[:, k]).T + [len(m) / PAIR_COST if p.joined > 1 else len(m) for m in p.masks]
             limits = allocate(cost, total)
-            for k in range(len(groups)):
-                yield _rows(k, values[:, k], raw, mixed, chunks[k], salts[k], index=True)
-                for t, m in enumerate(masks):
+            for k in range(p.parts):
+                yield _rows(k, p, values[:, k], raw, mixed, index=True)
+                for t, m in enumerate(p.masks):
                     who = np.flatnonzero(limits[:, k] == t)
                     step = max(1, 400_000 // len(m))
                     for lo in range(0, len(who), step):
                         w = who[lo : lo + step]
                         v = (values[w, k][:, None] ^ m[None, :]).ravel()
-                        keep = hist_any[k][v]
-                        yield _rows(k, v[keep], np.repeat(raw[w], len(m))[keep], np.repeat(mixed[w], len(m))[keep], chunks[k], salts[k], index=False)
+                        keep = p.present(k, v)
+                        yield _rows(k, p, v[keep], np.repeat(raw[w], len(m))[keep], np.repeat(mixed[w], len(m))[keep], index=False)
 
-    hist_any = hist > 0  # parts * 2^width flags: values without rows need no probe
     rows = fps.mapInArrow(probe, "key long, side int, fp long").repartition("key").sortWithinPartitions("key", "side")
 
     def match(batches):
@@ -255,15 +317,15 @@ def linked(fps: DataFrame, scratch: Scratch, tau: int = 4, parts: int = 4, max_r
     return scratch.save(rows.mapInArrow(match, "u long, v long"), "links")
 
 
-def _rows(k, values, raw, mixed, chunks, salts, index):
+def _rows(k, p, values, raw, mixed, index):
     """Index rows go to one chunk and every salt, probes to one salt and every chunk."""
-    c, s = chunks[values].astype(np.int64), salts[values].astype(np.int64)
+    c, s = p.spread(k, values)
     own, spread = (c, s) if index else (s, c)
     mine = (mixed % own.astype(np.uint64)).astype(np.int64)
     at = np.repeat(np.arange(len(values)), spread)
     other = np.arange(len(at)) - np.repeat(np.cumsum(spread) - spread, spread)
     block = mine[at] * s[at] + other if index else other * s[at] + mine[at]
-    key = ((k << 16 | values[at]) << 24) | block
+    key = ((k << 32 | values[at]) << 24) | block
     side = np.full(len(at), 0 if index else 1, np.int32)
     return pa.RecordBatch.from_arrays([pa.array(key), pa.array(side), pa.array(raw[at])], names=["key", "side", "fp"])
 
@@ -290,7 +352,7 @@ def _verified(ikey, ifp, pkey, pfp, tau, most=1 << 20):
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4, parts: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, tau: int = 4, parts: int | None = None
 ) -> DataFrame:
     """(id, fp, component): documents linked by fingerprints within ``tau`` bits.
 

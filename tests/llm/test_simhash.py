@@ -75,8 +75,8 @@ def test_links_match_brute_force_in_dense_groups(spark):
     from loomwork.scratch import Scratch
 
     s = Scratch(spark, "t")
-    for chunk in (4096, 16):
-        links = simhash.linked(df, s, chunk=chunk)
+    for chunk, parts in ((4096, None), (16, 4), (4096, 2), (16, 2)):
+        links = simhash.linked(df, s, chunk=chunk, parts=parts)
         roots = {r.node: r.root for r in simhash.connected_components(links, s).collect()}
         want = components(fps)
         sig = [f - 2**64 if f >= 2**63 else f for f in fps]
@@ -85,6 +85,13 @@ def test_links_match_brute_force_in_dense_groups(spark):
             assert (lab[i] == lab[j]) == (want[i] == want[j])
 
 
+def test_partitions_widen_with_the_rows():
+    at = lambda n: [simhash.expected_cost(n, p, 4) for p in (4, 2)]
+    assert at(10**5)[0] < at(10**5)[1] and at(10**9)[0] > at(10**9)[1]
+    # the cheaper one grows by far less than the rows do
+    assert min(at(10**10)) < 60 * min(at(10**5))
+
+
 def test_allocation_covers_and_sums():
     cost = np.random.default_rng(0).random((50, 4, 4)) * 100
     t = simhash.allocate(cost, 1)
