@@ -22,6 +22,14 @@ def day(*x):
         ("this monday", day(2024, 5, 13), day(2024, 5, 14)), ("since 2020", day(2020, 1, 1), ANCHOR), ("until 2020", None, day(2020, 1, 1)), ("in December", day(2023, 12, 1), day(2024, 1, 1)),
         ("at Easter", day(2024, 3, 31), day(2024, 4, 1)), ("on Thanksgiving", day(2023, 11, 23), day(2023, 11, 24)), ("May 3, 2022", day(2022, 5, 3), day(2022, 5, 4)),
         ("on 2024-13-40", None, None),
+        ("on 3/14/2023", day(2023, 3, 14), day(2023, 3, 15)), ("a few days ago", day(2024, 5, 10), day(2024, 5, 14)), ("a couple of weeks ago", day(2024, 4, 24), day(2024, 5, 6)),
+        ("several months ago", day(2023, 12, 1), day(2024, 4, 1)), ("a couple years ago", day(2021, 1, 1), day(2024, 1, 1)), ("recently", day(2024, 4, 15), day(2024, 5, 16)),
+        ("the other day", day(2024, 5, 8), day(2024, 5, 15)), ("early March 2023", day(2023, 3, 1), day(2023, 3, 11)), ("mid-April", day(2024, 4, 11), day(2024, 4, 21)), ("late 2022", day(2022, 9, 1), day(2023, 1, 1)),
+        ("second week of June 2023", day(2023, 6, 8), day(2023, 6, 15)), ("fifth week of May 2023", day(2023, 5, 29), day(2023, 6, 1)), ("fifth week of February 2023", None, None),
+        ("the day after Christmas 2022", day(2022, 12, 26), day(2022, 12, 27)), ("two weeks before 2024-03-15", day(2024, 3, 1), day(2024, 3, 8)), ("three months before May 2023", day(2023, 2, 1), day(2023, 3, 1)),
+        ("year after 2020", day(2021, 1, 1), day(2022, 1, 1)), ("through 2020", None, day(2021, 1, 1)), ("after 2020", day(2021, 1, 1), None), ("from March 2023 to May 2023", day(2023, 3, 1), day(2023, 6, 1)),
+        ("between 2023-01-02 and 2023-01-05", day(2023, 1, 2), day(2023, 1, 6)), ("for three weeks", None, None), ("aged 40", None, None), ("someday", None, None), ("Tuesday", day(2024, 5, 14), day(2024, 5, 15)),
+        ("two days later", day(2024, 5, 17), day(2024, 5, 18)), ("Easter 2021", day(2021, 4, 4), day(2021, 4, 5)),
     ],
 )
 def test_time_rules(text, start, end):
