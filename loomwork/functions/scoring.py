@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed values of the ranking model.
 K1 = 1.2
-FIELD_WEIGHTS = {"text": 1.0, "speaker": 0.3, "session": 0.2}
-FIELD_B = {"text": 0.75, "speaker": 0.0, "session": 0.5}
+FIELD_WEIGHTS = {"text": 1.0, "entities": 0.8, "when": 0.6, "speaker": 0.3, "session": 0.2}
+FIELD_B = {"text": 0.75, "entities": 0.3, "when": 0.0, "speaker": 0.0, "session": 0.5}
 RRF_K = 60
 
 

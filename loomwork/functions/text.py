@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 MARKED = "àâäáãåçèéêëìíîïñòóôöõùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 WORD = r"[\p{L}\p{N}]+"
+MENTION = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*"
 
 
 def fold(text: Column) -> Column:
@@ -21,6 +22,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def mentions(text: Column) -> Column:
+    """Capitalised names, as written."""
+    return F.regexp_extract_all(text, F.lit(MENTION), F.lit(0))
+
+
 def shingles(words: Column, k: int) -> Column:
     """Distinct k-word shingles; fewer words give one shingle, none give none."""
 

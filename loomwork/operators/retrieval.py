@@ -14,7 +14,19 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import scoring, text
 
-FIELDS = ["text", "speaker", "session"]
+FIELDS = ["text", "entities", "speaker", "session"]
+DATED = [*FIELDS, "when"]  # units that have a time, in the column `at`
+
+
+def _source(field: str) -> Column:
+    """What a field's tokens are taken from."""
+    return {
+        "text": lambda: F.col("text"),
+        "entities": lambda: F.array_join(text.mentions(F.col("text")), " "),
+        "speaker": lambda: F.col("speaker"),
+        "session": lambda: F.concat(F.lit("conv"), F.col("session_id").cast("string")),
+        "when": lambda: F.date_format("at", "yyyy MMMM d EEEE"),
+    }[field]()
 
 
 def units(conversations: DataFrame) -> DataFrame:
@@ -26,16 +38,14 @@ def units(conversations: DataFrame) -> DataFrame:
 
 def postings(u: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """(unit_id, field, term, tf, len): the inverted index, all fields."""
-    source = {"text": F.col("text"), "speaker": F.col("speaker"), "session": F.concat(F.lit("conv"), F.col("session_id").cast("string"))}
-    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text.tokens(source[f]).alias("words")) for f in fields]))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), text.tokens(_source(f)).alias("words")) for f in fields]))
     flat = u.select("unit_id", each.alias("f")).select("unit_id", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("term"))
     return flat.groupBy("unit_id", "field", "term", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def statistics(u: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
     """(field, n_units, total_len): every unit counts in every field, empty or not."""
-    source = {"text": F.col("text"), "speaker": F.col("speaker"), "session": F.concat(F.lit("conv"), F.col("session_id").cast("string"))}
-    sums = u.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.size(text.tokens(source[f]))).alias(f) for f in fields])
+    sums = u.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.size(text.tokens(_source(f)))).alias(f) for f in fields])
     return sums.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col("n").alias("n_units"), F.coalesce(f, F.lit(0)).cast("long").alias("total_len")) for f in fields])).alias("s")).select("s.*")
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomwork.functions import intervals, scoring
+from loomwork.functions import intervals, scoring, text
 from loomwork.operators import retrieval as R, temporal
 from loomwork.plans.registry import load, query
-from loomwork.plans.retrieval import BM, _queries, _units
+from loomwork.plans.retrieval import BM, _queries, _units, tok
 
 LO, HI = 1704844800000000, 1705708800000000  # 2024-01-10 to 2024-01-20
 
@@ -43,16 +43,21 @@ def two_phase_topk(spark, d):
     return t.orderBy(F.desc("score"), "vec_id").limit(10).select("vec_id", "score")
 
 
-@query("facet_bonus", f"""WITH {BM}, h AS (SELECT qid, unit_id, ascii(term) % 3 AS facet, count(*) AS n FROM (SELECT DISTINCT unit_id, term FROM p) JOIN qt USING (term) GROUP BY 1, 2, 3),
-c AS (SELECT qid, unit_id, count(*) AS covered FROM h GROUP BY 1, 2)
-SELECT bm.qid, bm.unit_id, round(1.0 / (60 + rank) + least(0.5 * (covered - 1), 1) / (60 + rank), 9)::DOUBLE AS score FROM bm JOIN c USING (qid, unit_id) WHERE rank <= 50""")
+@query("facet_bonus", f"""WITH {BM}, fc AS (SELECT qid, facet, list_distinct({tok('part')}) AS w FROM (SELECT qid, unnest(string_split(query, ',')[1:3]) AS part, unnest(range(0, least(3, len(string_split(query, ','))))) AS facet FROM q)),
+ft AS (SELECT qid, facet, unnest(w) AS term FROM fc), rare AS (SELECT qid, facet, arg_min(term, (df, term)) AS term FROM ft JOIN df USING (term) GROUP BY 1, 2),
+c AS (SELECT qid, unit_id, count(DISTINCT facet) AS covered FROM rare JOIN (SELECT DISTINCT unit_id, term FROM p) USING (term) GROUP BY 1, 2)
+SELECT bm.qid, bm.unit_id, round(1.0 / (60 + rank) + least(0.5 * (greatest(coalesce(covered, 0), 1) - 1), 1) / (60 + rank), 9)::DOUBLE AS score FROM bm LEFT JOIN c USING (qid, unit_id) WHERE rank <= 50""")
 def facet_bonus(spark, d):
-    """Rank score plus min(0.5 (covered - 1), 1) / (60 + rank) for the facets a unit covers."""
+    """Rank score plus min(0.5 (covered - 1), 1) / (60 + rank): facets are a query's first three clauses, covered by a clause's rarest term."""
     u, q = _units(spark, d), _queries(spark, d)
-    hits = R.postings(u).select("unit_id", "term").distinct().join(R.query_terms(q), "term")
-    covered = hits.select("qid", "unit_id", (F.ascii("term") % 3).alias("facet")).distinct().groupBy("qid", "unit_id").agg(F.count(F.lit(1)).alias("covered"))
-    t = R.top(R.bm25f(u, q), 50).join(covered, ["qid", "unit_id"])
-    bonus = F.least(0.5 * (F.col("covered") - 1), F.lit(1.0)) / (scoring.RRF_K + F.col("rank"))
+    held = R.postings(u).select("unit_id", "term").distinct()
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    parts = q.select("qid", F.posexplode(F.slice(F.split("query", ",", -1), 1, 3)).alias("facet", "part"))
+    terms = parts.select("qid", "facet", F.explode(F.array_distinct(text.tokens(F.col("part")))).alias("term"))
+    rare = terms.join(df, "term").groupBy("qid", "facet").agg(F.min(F.struct("df", "term"))["term"].alias("term"))
+    covered = rare.join(held, "term").groupBy("qid", "unit_id").agg(F.countDistinct("facet").alias("covered"))
+    t = R.top(R.bm25f(u, q), 50).join(covered, ["qid", "unit_id"], "left")
+    bonus = F.least(0.5 * (F.greatest(F.coalesce("covered", F.lit(0)), F.lit(1)) - 1), F.lit(1.0)) / (scoring.RRF_K + F.col("rank"))
     return t.select("qid", "unit_id", F.round(scoring.rrf(F.lit(1.0), F.col("rank")) + bonus, 9).alias("score"))
 
 

@@ -60,6 +60,19 @@ def phrase_flag(spark, d):
     return t.select("qid", "unit_id", F.contains(pad(text.tokens(F.col("text"))), pad(F.slice(text.tokens(F.col("query")), 1, 2))).alias("phrase"))
 
 
+def coverage(spark, d, k: int = 20):
+    """(qid, unit_id, score, rank, cov_idf) of the first k units of each query."""
+    u, q = _units(spark, d), _queries(spark, d)
+    p = R.postings(u)
+    n = u.agg(F.count(F.lit(1)).alias("n"))
+    df = R.document_frequency(p, by_field=False)
+    qi = R.query_terms(q).join(df, "term", "left").join(F.broadcast(n)).withColumn("idf", scoring.idf(F.col("n"), F.coalesce("df", F.lit(0))))
+    total = qi.groupBy("qid").agg(F.sum("idf").alias("total"))
+    got = qi.join(p.select("unit_id", "term").distinct(), "term").groupBy("qid", "unit_id").agg(F.sum("idf").alias("got"))
+    c = R.top(R.bm25f(u, q), k).join(got, ["qid", "unit_id"]).join(total, "qid")
+    return c.withColumn("cov_idf", F.round(F.col("got") / F.col("total"), 6)).drop("got", "total")
+
+
 COV = f"""{BM}, dd AS (SELECT term, count(DISTINCT unit_id) AS df FROM p GROUP BY 1), nn AS (SELECT count(*) AS n FROM u),
 qi AS (SELECT qid, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN dd USING (term), nn),
 tot AS (SELECT qid, sum(idf) AS total FROM qi GROUP BY 1),
@@ -70,14 +83,7 @@ cov AS (SELECT bm.qid, bm.unit_id, round(got / total, 6) AS cov_idf FROM bm JOIN
 @query("coverage_verdict", f"WITH {COV} SELECT qid, unit_id, cov_idf, CASE WHEN cov_idf >= 0.6 THEN 'supported' WHEN cov_idf >= 0.25 THEN 'partial' ELSE 'weak' END AS label FROM cov")
 def coverage_verdict(spark, d):
     """Share of the query's idf that a unit covers, and its support band."""
-    u, q = _units(spark, d), _queries(spark, d)
-    p = R.postings(u)
-    n = u.agg(F.count(F.lit(1)).alias("n"))
-    df = R.document_frequency(p, by_field=False)
-    qi = R.query_terms(q).join(df, "term", "left").join(F.broadcast(n)).withColumn("idf", scoring.idf(F.col("n"), F.coalesce("df", F.lit(0))))
-    total = qi.groupBy("qid").agg(F.sum("idf").alias("total"))
-    got = qi.join(p.select("unit_id", "term").distinct(), "term").groupBy("qid", "unit_id").agg(F.sum("idf").alias("got"))
-    c = R.top(R.bm25f(u, q), 20).join(got, ["qid", "unit_id"]).join(total, "qid").withColumn("cov_idf", F.round(F.col("got") / F.col("total"), 6))
+    c = coverage(spark, d)
     label = F.when(F.col("cov_idf") >= 0.6, "supported").when(F.col("cov_idf") >= 0.25, "partial").otherwise("weak")
     return c.select("qid", "unit_id", "cov_idf", label.alias("label"))
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomwork.functions import scoring, text
 from loomwork.operators import entities, retrieval as R, temporal
+from loomwork.plans import lanes
+from loomwork.plans.lanes import COV
 from loomwork.plans.registry import load, query
 from loomwork.plans.retrieval import BM, _queries, _units, tok
 
@@ -90,16 +92,23 @@ def source_lane(spark, d):
     return sc.withColumn("r", r).where("r <= 20").select("qid", "page_id", "score")
 
 
-@query("feature_rerank", f"""WITH {BM}, t AS (SELECT *, 1.0::DOUBLE / (60 + rank) AS rrf FROM bm WHERE rank <= 40), m AS (SELECT qid, max(rrf) AS top FROM t GROUP BY 1),
-fr AS (SELECT t.qid, unit_id, round(rrf / top + 0.4 * CASE WHEN speaker IS NULL THEN 0.5 WHEN speaker = 'user' THEN 1.0 ELSE 0.0 END + 0.4 * 0.5, 6)::DOUBLE AS score FROM t JOIN m USING (qid) JOIN u USING (unit_id))
+@query("feature_rerank", f"""WITH {COV}, t AS (SELECT bm.*, cov_idf, 1.0::DOUBLE / (60 + rank) AS rrf FROM bm JOIN cov USING (qid, unit_id)), m AS (SELECT qid, max(rrf) AS top FROM t GROUP BY 1),
+w AS (SELECT qid, {tok('query')} AS qw FROM q),
+a AS (SELECT qid, CASE WHEN list_contains(qw, 'user') AND NOT list_contains(qw, 'assistant') THEN 'user' WHEN list_contains(qw, 'assistant') AND NOT list_contains(qw, 'user') THEN 'assistant' END AS asked, qw FROM w),
+fr AS (SELECT t.qid, unit_id, round(rrf / top + 0.9 * cov_idf + 0.3 * CASE WHEN contains(' ' || array_to_string({tok('u.text')}, ' ') || ' ', ' ' || array_to_string(qw[1:2], ' ') || ' ') THEN 1 ELSE 0 END
+  + 0.4 * CASE WHEN asked IS NULL OR speaker IS NULL THEN 0.5 WHEN speaker = asked THEN 1.0 ELSE 0.0 END + 0.4 * 0.5, 6)::DOUBLE AS score FROM t JOIN m USING (qid) JOIN u USING (unit_id) JOIN a USING (qid))
 SELECT qid, unit_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) AS rank FROM fr""")
 def feature_rerank(spark, d):
-    """Fused rank, speaker match and a neutral time feature, re-ranked; unknown speakers are neutral."""
-    u = _units(spark, d)
-    t = R.top(R.bm25f(u, _queries(spark, d)), 40).withColumn("rrf", scoring.rrf(F.lit(1.0), F.col("rank")))
-    t = t.withColumn("top", F.max("rrf").over(W.partitionBy("qid"))).join(u.select("unit_id", "speaker"), "unit_id")
-    match = F.when(F.col("speaker").isNull(), 0.5).when(F.col("speaker") == "user", 1.0).otherwise(0.0)
-    f = t.select("qid", "unit_id", F.round(F.col("rrf") / F.col("top") + 0.4 * match + 0.4 * 0.5, 6).alias("score"))
+    """Fused rank, covered idf, phrase, speaker match and time, weighted and re-ranked; what is unknown is neutral."""
+    u, q = _units(spark, d), _queries(spark, d)
+    t = lanes.coverage(spark, d).withColumn("rrf", scoring.rrf(F.lit(1.0), F.col("rank")))
+    t = t.withColumn("top", F.max("rrf").over(W.partitionBy("qid"))).join(u.select("unit_id", "speaker", "text"), "unit_id").join(q, "qid")
+    words, pad = text.tokens(F.col("query")), lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    user, other = F.array_contains(words, "user"), F.array_contains(words, "assistant")
+    t = t.withColumn("asked", F.when(user & ~other, "user").when(other & ~user, "assistant"))
+    phrase = F.contains(pad(text.tokens(F.col("text"))), pad(F.slice(words, 1, 2))).cast("int")
+    match = F.when(F.col("asked").isNull() | F.col("speaker").isNull(), 0.5).when(F.col("speaker") == F.col("asked"), 1.0).otherwise(0.0)
+    f = t.select("qid", "unit_id", F.round(F.col("rrf") / F.col("top") + 0.9 * F.col("cov_idf") + 0.3 * phrase + 0.4 * match + 0.4 * 0.5, 6).alias("score"))
     return f.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "unit_id")).cast("long"))
 
 

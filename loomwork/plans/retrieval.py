@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomwork.functions import scoring
-from loomwork.functions.text import MARKED, PLAIN
+from loomwork.functions.text import MARKED, MENTION, PLAIN, mentions
 from loomwork.operators import retrieval as R
 from loomwork.plans.registry import load, query
 
@@ -18,24 +19,36 @@ def tok(expr: str) -> str:
 
 
 UNITS = "u AS (SELECT conv_id * 4294967296 + turn AS unit_id, conv_id AS session_id, turn AS seq, role AS speaker, text FROM conversations)"
-POSTINGS = f"""{UNITS},
-f AS (SELECT unit_id, 'text' AS field, {tok('text')} AS w FROM u
-      UNION ALL SELECT unit_id, 'speaker', {tok('speaker')} FROM u
-      UNION ALL SELECT unit_id, 'session', {tok("'conv' || session_id")} FROM u),
+STATED = "q AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE item_id % 5 = 0)"
+SOURCES = {"text": "text", "entities": f"array_to_string(regexp_extract_all(text, '{MENTION}'), ' ')", "speaker": "speaker", "session": "'conv' || session_id", "when": "strftime(stamp, '%Y %B %-d %A')"}
+# the model's published field weights and length norms, stated again for the SQL side
+WEIGHT = "CASE p.field WHEN 'text' THEN 1.0::DOUBLE WHEN 'entities' THEN 0.8::DOUBLE WHEN 'when' THEN 0.6::DOUBLE WHEN 'speaker' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END"
+NORM = "CASE p.field WHEN 'text' THEN 0.75::DOUBLE WHEN 'entities' THEN 0.3::DOUBLE WHEN 'session' THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def postings_sql(units: str = UNITS, queries: str = STATED, fields: tuple = ("text", "entities", "speaker", "session")) -> str:
+    each = "\n      UNION ALL ".join(f"SELECT unit_id, '{f}' AS field, {tok(SOURCES[f])} AS w FROM u" for f in fields)
+    return f"""{units},
+f AS ({each}),
 p AS (SELECT unit_id, field, term, len(w) AS len, count(*) AS tf FROM (SELECT unit_id, field, w, unnest(w) AS term FROM f) GROUP BY ALL),
 st AS (SELECT field, count(*) AS n_units, sum(len(w))::BIGINT AS total_len FROM f GROUP BY 1),
-q AS (SELECT item_id AS qid, text AS query FROM benchmark WHERE item_id % 5 = 0),
+{queries},
 qt AS (SELECT DISTINCT qid, unnest({tok('query')}) AS term FROM q)"""
-BM = f"""{POSTINGS},
+
+
+def ranked_sql(postings: str) -> str:
+    return f"""{postings},
 df AS (SELECT term, count(DISTINCT unit_id) AS df FROM p GROUP BY 1),
-part AS (SELECT qid, unit_id, p.term, sum(CASE p.field WHEN 'text' THEN 1.0::DOUBLE WHEN 'speaker' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END * tf
-    / (1 - CASE p.field WHEN 'text' THEN 0.75::DOUBLE WHEN 'speaker' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END
-       + CASE p.field WHEN 'text' THEN 0.75::DOUBLE WHEN 'speaker' THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END * len / (total_len / n_units))) AS tf, min(n_units) AS n
+part AS (SELECT qid, unit_id, p.term, sum({WEIGHT} * tf / (1 - {NORM} + {NORM} * len / (total_len / n_units))) AS tf, min(n_units) AS n
   FROM p JOIN qt ON p.term = qt.term JOIN st ON p.field = st.field GROUP BY 1, 2, 3),
 sc AS (SELECT qid, unit_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2)), 6) AS score FROM part JOIN df USING (term) GROUP BY 1, 2),
 bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit_id) AS rank FROM sc)"""
 
 
+POSTINGS = postings_sql()
+BM = ranked_sql(POSTINGS)
+
+
 def _units(spark, d):
     return R.units(load(spark, d, "conversations"))
 
@@ -182,16 +195,17 @@ def int8_quantize(spark, d):
 
 @query(
     "rank_boosts",
-    f"""WITH {BM}, n AS (SELECT qid, unit_id, rank, count(*) OVER (PARTITION BY qid) AS n FROM bm WHERE rank <= 20)
-SELECT qid, unit_id, round(CASE WHEN n > 1 THEN 1 - 0.9 * (rank - 1) / (n - 1) ELSE 1 END *
- least(greatest((1 + 0.2 * ((unit_id % 100) / 100.0 - 0.5)) * (1 + 0.2 * ((unit_id % 7) / 7.0 - 0.5)) * (1 + 0.1 * ((unit_id % 3) / 3.0 - 0.5)), 0.75), 1.3), 6)::DOUBLE AS boosted FROM n""",
+    f"""WITH {BM}, n AS (SELECT qid, unit_id, rank, count(*) OVER (PARTITION BY qid) AS n, (SELECT max(session_id) FROM u) AS last, session_id, len(regexp_extract_all(text, '{MENTION}')) AS names FROM bm JOIN u USING (unit_id) WHERE rank <= 20)
+SELECT qid, unit_id, round(CASE WHEN n > 1 THEN 1 - 0.9 * (rank - 1) / (n - 1) ELSE 1 END * least(greatest((1 + 0.2 * (session_id::DOUBLE / last - 0.5)) * (1 + 0.1 * (least(1, 0.5 + ln(1 + names) / 10) - 0.5)), 0.75), 1.3), 6)::DOUBLE AS boosted FROM n""",
 )
 def rank_boosts(spark, d):
-    t = R.top(R.bm25f(_units(spark, d), _queries(spark, d)), 20)
-    from pyspark.sql import Window as W
-
+    """Rank-scaled base times bounded boosts: later sessions are more recent, proof is the names a unit holds, no window is neutral."""
+    u = _units(spark, d)
+    last = u.agg(F.max("session_id").alias("last"))  # one row
+    t = R.top(R.bm25f(u, _queries(spark, d)), 20).join(u.select("unit_id", "session_id", F.size(mentions(F.col("text"))).alias("names")), "unit_id").join(F.broadcast(last))
     base = 1 - 0.9 * F.percent_rank().over(W.partitionBy("qid").orderBy("rank"))
-    b = scoring.boost((F.col("unit_id") % 100) / 100, (F.col("unit_id") % 7) / 7, (F.col("unit_id") % 3) / 3)
+    proof = F.least(F.lit(1.0), 0.5 + F.log(1.0 + F.col("names")) / 10)
+    b = scoring.boost(F.col("session_id") / F.col("last"), F.lit(0.5), proof)
     return t.withColumn("base", base).select("qid", "unit_id", F.round(F.col("base") * b, 6).alias("boosted"))
 
 
@@ -206,3 +220,17 @@ def indexed_search(spark, d):
     e.ingest(u.where("session_id % 3 <> 0").withColumn("text", draft))
     e.ingest(u.where("session_id % 3 = 0 or session_id % 4 = 0"))
     return e.search(_queries(spark, d), 10).select("qid", "unit_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+AT = "TIMESTAMP '2024-01-01' + to_days((conv_id * 3)::INTEGER) AS stamp"
+ASKED = "(1, 'what happened on monday 4 march'), (2, 'user in april 2024'), (3, 'Le la sunday'), (4, 'conv3 friday')"
+DATED = ranked_sql(postings_sql(UNITS.replace("text FROM", f"text, {AT} FROM"), f"q AS (SELECT * FROM (VALUES {ASKED}) AS v(qid, query))", tuple(R.DATED)))
+
+
+@query("dated_search", f"WITH {DATED} SELECT qid, unit_id, score, rank FROM bm WHERE rank <= 20")
+def dated_search(spark, d):
+    """All five fields: text, names, speaker, session and the words of the unit's time."""
+    u = _units(spark, d).withColumn("at", F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(cast(session_id * 3 as int))"))
+    q = spark.sql(f"SELECT CAST(qid AS BIGINT) AS qid, query FROM VALUES {ASKED} AS v(qid, query)")
+    out = R.top(R.bm25f(u, q, R.DATED), 20)
+    return out.select(F.col("qid").cast("int").alias("qid"), "unit_id", "score", F.col("rank").cast("long").alias("rank"))

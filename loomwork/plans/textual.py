@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwork.functions import text
+from loomwork.functions.text import MENTION
 from loomwork.operators import dedup, retrieval as R
 from loomwork.plans.registry import load, query
 from loomwork.plans.retrieval import UNITS, tok
@@ -81,9 +82,6 @@ def redaction(spark, d):
     return load(spark, d, "documents").select("doc_id", F.sha2(clean.cast("binary"), 256).alias("digest"))
 
 
-MENTION = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*"
-
-
 @query("entity_mentions", f"""WITH {UNITS}, m AS (SELECT unit_id, unnest(regexp_extract_all(text, '{MENTION}')) AS surface FROM u)
 SELECT lower(surface) AS canon, count(*) AS mentions, count(DISTINCT unit_id) AS units FROM m GROUP BY 1""")
 def entity_mentions(spark, d):
