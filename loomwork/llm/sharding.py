@@ -53,7 +53,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
     placed = own.join(pieces.drop("n"), [*CLS, "s0"], "left")
     split = max(4, rows // (shards * 2000))
-    bucket = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(split)).cast("int")
+    bucket = F.pmod(F.xxhash64("id", "h", F.lit(1)), F.lit(split)).cast("int")
     placed = placed.select(
         "id", "size", "crc", "h", F.coalesce("s", F.col("s0") % shards).alias("s"), F.when(F.col("s").isNotNull(), bucket).otherwise(bucket + split).alias("b")
     )

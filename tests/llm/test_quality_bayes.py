@@ -51,3 +51,50 @@ def test_defined_results(spark):
     out = qb.classify(docs, labels).toPandas()
     assert len(out) == 5 and np.isfinite(out.quality).all()
     assert qb.classify(docs.limit(0), labels).count() == 0
+
+
+def test_posteriors_worked_out_again(spark):
+    """Host, path and document scores recomputed with numpy from the document evidence."""
+    r = np.random.default_rng(5)
+    good, bad = "the house on the hill has a long and quiet garden with old trees . ", "zz 11 ## $$ xx qq "
+    rows = []
+    for i in range(240):
+        host = ["a", "b", "c", None][i % 4]
+        fine = r.random() < {"a": 0.9, "b": 0.4, "c": 0.1, None: 0.5}[host]
+        rows.append((i, (good if fine else bad) * int(r.integers(2, 6)), host, ["x", "y", None][i % 3], int(fine)))
+    docs = spark.createDataFrame([x[:4] for x in rows], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(x[0], x[4]) for x in rows if x[0] % 2], "doc_id long, quality int")
+    out = qb.classify(docs, labels).toPandas().set_index("id").sort_index()
+    p = out.doc_score.to_numpy()
+    host = [x[2] for x in rows]
+    site = [(x[2], x[3]) for x in rows]
+    groups = lambda keys: {k: np.array([i for i, x in enumerate(keys) if x == k]) for k in set(keys)}
+
+    def strength(by, prior):
+        n = {k: len(v) for k, v in by.items()}
+        total = sum(n.values())
+        between = sum(n[k] * (p[v].mean() - prior[k]) ** 2 for k, v in by.items())
+        level = sum(n[k] * prior[k] * (1 - prior[k]) for k in by) / total
+        tau2 = (between - len(by) * level) / (total - sum(x**2 for x in n.values()) / total)
+        return np.clip(level / tau2 - 1, 1, 1e6) if tau2 > 0 else 1e6
+
+    base = p.mean()
+    hosts = groups(host)
+    s = strength(hosts, dict.fromkeys(hosts, base))
+    host_post = {k: (p[v].sum() + s * base) / (len(v) + s) for k, v in hosts.items()}
+    sites = groups(site)
+    prior = {k: host_post[k[0]] for k in sites}
+    s = strength(sites, prior)
+    site_post = {k: (p[v].sum() + s * prior[k]) / (len(v) + s) for k, v in sites.items()}
+    odds = lambda x: np.log(x / (1 - x))
+    for i in range(len(rows)):
+        assert abs(out.host_score[i] - host_post[host[i]]) < 1e-9 and abs(out.path_score[i] - site_post[site[i]]) < 1e-9
+        clipped = min(max(p[i], 1e-9), 1 - 1e-9)
+        want = 1 / (1 + np.exp(-(odds(clipped) + odds(site_post[site[i]]) - odds(base))))
+        assert abs(out.quality[i] - want) < 1e-6
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "some text here", "a", "x", 5, 6, 7)], "doc_id long, text string, source string, lang string, source_text int, features int, host int")
+    out = qb.with_features(docs.drop("features"))
+    assert out.columns == ["doc_id", "source", "lang", "source_text", "host", "features"] and out.count() == 1

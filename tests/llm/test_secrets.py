@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import secrets as stdlib_secrets
 import random
@@ -89,3 +90,50 @@ def test_long_words_stay(spark):
     plain = ["internationalisierungsbemuehungen", "INTERNATIONALISATION", "SOFTWARE-LICENSE-AGREEMENT", "counterrevolutionaries/antidisestablishmentarianism", "--------------------", "====================", "00000000000000000000", "2024-01-01-00-00-00-12", "NevertheLessTheConfigurationOfServers", "THESERVERISNOTAVAILABLETODAY"]
     got = run(spark, [f"see {p} there" for p in plain])
     assert [p for i, p in enumerate(plain) if got[i].spans] == []
+
+
+def slow_battery(token):
+    """The three tests and the e-value of a run, by loops."""
+    body = token.rstrip("=") or token
+    abc = next(chars for pattern, chars in secrets.ALPHABETS if re.search(pattern, body))
+    u, k, n = [abc.index(c) for c in body], len(abc), len(body)
+    chi = sum(u.count(v) ** 2 for v in range(k)) * k / n - n
+    z_chi = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    high = [x >= k / 2 for x in u]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    h = sum(high)
+    mean = 1 + 2 * h * (n - h) / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z_runs = abs(runs - mean) / math.sqrt(var) if var > 0 else 9.0
+    mid = (k - 1) / 2
+    z_corr = abs(sum((a - mid) * (b - mid) for a, b in zip(u, u[1:])) / ((k * k - 1) / 12 * n)) * math.sqrt(n)
+    tail = lambda z: math.exp(-0.717 * max(z, 0) - 0.416 * max(z, 0) ** 2)
+    natural = [sum(secrets._natural(c)[ord(x)] for x in body) for c in (False, True)]
+    nat = max(natural[0] + math.log(1 - secrets.CAPITALS), natural[1] + math.log(secrets.CAPITALS))
+    return 3 * min(tail(z_chi) / 2, tail(z_runs), tail(z_corr)) >= 0.001, -n * math.log(k) - nat - math.log(len(secrets.ALPHABETS))
+
+
+def test_battery_and_false_discovery_limits_worked_out_again(spark):
+    r = random.Random(11)
+    kinds = ["0123456789", "0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", secrets.ALPHABETS[9][1], secrets.ALPHABETS[10][1].replace("=", "")]
+    runs = ["".join(r.choice(k) for _ in range(r.choice([20, 31, 40, 64, 120]))) for k in kinds for _ in range(15)]
+    runs += [w * 4 for w in ("readability", "TheQuickBrownFox", "internationalisation")] + ["ab" * 15, "0123456789" * 3]
+    df = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(runs)], "doc_id long, text string")
+    found = secrets.findings(df).orderBy("doc_id")
+    rows, counts = found.collect(), {}
+    for row, t in zip(rows, runs):
+        for c in row.candidates:
+            ok, loge = slow_battery(t)
+            e = max(-1, min(secrets.TOP, math.floor(loge / math.log(10))))
+            cls = sum(len(t) >= x for x in secrets.LENGTHS)
+            assert (c["start"], c["end"], c["ok"], c["len_class"]) == (2, 2 + len(t), ok, cls), t
+            assert abs(c["bin"] - e) <= (1 if abs(loge / math.log(10) - round(loge / math.log(10))) < 1e-6 else 0), t
+            counts.setdefault(cls, []).append((c["bin"], ok))
+    assert sum(map(len, counts.values())) > 60
+    # e-BH, from its definition: the largest number of discoveries k whose smallest e-value is at least m / (fdr k)
+    least = secrets.limits(found, 0.01)
+    for cls, tests in counts.items():
+        m = len(tests)
+        passed = sorted((b for b, ok in tests if ok and b >= 0), reverse=True)
+        want = [b for k, b in enumerate(passed, 1) if 10.0**b >= m / (0.01 * sum(x >= b for x in passed))]
+        assert [b for b in passed if b >= least[cls]] == [b for b in passed if want and b >= min(want)]

@@ -46,3 +46,27 @@ def test_query(spark, sf):
     assert "Python" not in q._jdf.queryExecution().toString()
     out = q.toPandas()
     assert out["shard"].between(0, 39).all() and (out["law"] == "rows").all() and out["grown_shard"].isna().all()
+
+
+def test_cut_against_no_propagation(spark):
+    """Cut links counted pair by pair: propagation leaves a small part of what the starting shards cut."""
+    import collections
+    import itertools
+
+    rows = [(i, f"text {i // 4}" if i < 800 else f"alone {i}") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {}
+    for rounds in (0, 24):
+        at = {r.id: r.shard for r in sharding.shard(df, shards=8, rounds=rounds).collect()}
+        size = collections.Counter(at.values())
+        assert len(at) == 2400 and max(size.values()) - min(size.values()) <= 1
+        cut[rounds] = sum(at[i] != at[j] for a in range(0, 800, 4) for i, j in itertools.combinations(range(a, a + 4), 2))
+    assert cut[0] > 900 and cut[24] < 0.1 * cut[0], cut
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, f"t{i}") for i in range(100)] + [(7, f"u{i}") for i in range(100)] + [(None, None)] * 3
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=5).toPandas()
+    size = out.groupby("shard").size()
+    assert len(out) == 203 and size.max() - size.min() <= 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
