@@ -254,3 +254,20 @@ def lane_registry(spark, d):
     reg.register("large", lambda e: e.where("value > 100").select(F.col("event_id").alias("unit_id"), F.col("value").alias("score")))
     reg.register("typed", lambda e: e.where("event_type = 'error'").select(F.col("event_id").alias("unit_id"), F.lit(0.5).alias("score")))
     return reg.run(load(spark, d, "events"), ["recent", "large", "typed"]).groupBy("lane").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("resumed_backfill", """SELECT pass, event_type, count(*) AS n FROM (SELECT event_type, unnest(CASE WHEN event_id % 4 < 2 THEN [1, 2] ELSE [2] END) AS pass FROM events) GROUP BY 1, 2""")
+def resumed_backfill(spark, d):
+    """Two passes with one checkpoint: half of the files, then the rest; the second reads only what is new."""
+    from loomwork.scratch import Scratch
+    from loomwork.streaming.incremental import backfill
+
+    e, s = load(spark, d, "events").select("event_id", "event_type"), Scratch(spark, "backfill")
+    src, out, mark = s.path("in"), s.path("out"), s.path("checkpoint")
+    passes = None
+    for k, part in ((1, "event_id % 4 < 2"), (2, "event_id % 4 >= 2")):
+        e.where(part).repartition(2).write.mode("append").parquet(src)
+        backfill(spark, src, e.schema, out, mark)
+        now = s.save(spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"pass{k}").select(F.lit(k).alias("pass"), "event_type", "n")
+        passes = now if passes is None else passes.unionByName(now)
+    return passes

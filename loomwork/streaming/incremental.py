@@ -33,3 +33,16 @@ def grouped_counts(spark, folder: str, table: str, key: str, value: str) -> Data
 def session_counts(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Watermarked session windows of a stream, or of a batch."""
     return events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, "w.start", "w.end", "n")
+
+
+def backfill(spark, source: str, schema, out: str, checkpoint: str, files: int = 1) -> int:
+    """Append what ``source`` holds beyond the checkpoint to ``out``; returns the rows appended.
+
+    Runs in bounded steps of ``files`` files and ends when all are done; a run
+    that was cut short goes on from its checkpoint, and files seen before are
+    never read again.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sum(p.numInputRows for p in q.recentProgress)
