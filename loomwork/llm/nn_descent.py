@@ -112,7 +112,7 @@ def place(nodes: DataFrame, scratch: Scratch, n: int, mean: np.ndarray, trees: i
     kind = nodes.schema["vec"].dataType.simpleString()
     coded = scratch.save(nodes.select("id", "vec").mapInArrow(code, f"id long, vec {kind}, codes array<long>"), "coded")
     flat = coded.select("id", "vec", F.col("codes")[0].alias("first"), F.posexplode("codes").alias("tree", "code"))
-    sizes = scratch.save(flat.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("c")), "sizes")
+    sizes = flat.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("c"))
     part = lambda c, tree: F.shiftleft(F.col("code"), 20) + F.pmod(F.xxhash64("id", tree), F.ceil(F.col(c) / (2 * block)))
     homes = sizes.where("tree = 0").select(F.col("code").alias("first"), F.col("c").alias("first_c"))
     out = flat.join(sizes, ["tree", "code"]).join(homes, "first").withColumn("part", part("c", F.col("tree")))
@@ -456,7 +456,6 @@ def neighbours(rows: DataFrame, every: int, id_col: str = "vec_id", vec_col: str
     own = scratch.save(prepare(rows, id_col, vec_col), "own")
     one = F.row_number().over(W.partitionBy("id").orderBy("h1", "h2"))
     first = own.where(F.col("id") % every == 0).withColumn("r", one).where("r = 1").select("id", "h1", "h2")
-    first = scratch.save(first, "first")
     single = rows.schema[vec_col].dataType.simpleString() == "array<float>"
     parts = [_within(part, first, Scratch(rows.sparkSession, "nndescent"), top, beam, single, graph_options) for part in by_length(own)]
     kind = f"query_id {own.schema['id'].dataType.simpleString()}, rank int, id {own.schema['id'].dataType.simpleString()}, score double"
@@ -471,10 +470,10 @@ def _within(own: DataFrame, first: DataFrame, scratch: Scratch, top: int, beam:
     classes = scratch.save(classes, "classes")
     # node ids are the smallest id of a class and may repeat only if ids do
     spread = F.xxhash64("h1", "h2")
-    nodes = scratch.save(classes.select(spread.alias("id"), "vec"), "nodes")
+    nodes = classes.select(spread.alias("id"), "vec")
     graph = scratch.save(build(nodes, scratch, **graph_options), "graph")
     asked = own.join(first, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])
-    queries = scratch.save(asked.select(F.col("id").alias("q"), "vec", spread.alias("node")), "queries")
+    queries = asked.select(F.col("id").alias("q"), "vec", spread.alias("node"))
     found = search(queries, nodes, graph, scratch, beam)
     # members: a query needs the top + 1 smallest ids of a class at most
     salted = own.select("id", "h1", "h2", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))

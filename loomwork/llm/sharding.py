@@ -6,6 +6,10 @@ shard where most of the class already lies, as far as that shard's quota for
 linked rows has room.  A last pass evens the counts to at most one apart,
 moving unlinked rows first, so that few links are cut.
 
+Two exits end the propagation early: no piece moved in two rounds, or ``rounds``
+is reached; a shard with less than a tenth of its quota free attracts nothing.
+All affect the number of cut links only, never the law or any row.
+
 The propagation runs on (class, start shard) pieces, not rows: a class that
 holds a third of all rows is at most ``shards * FINE`` pieces.  The driver sees one
 row per shard and round.
