@@ -57,7 +57,7 @@ class TermIndex:
         out.coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
 
     def search(self, queries: DataFrame, live: DataFrame, generation: int) -> DataFrame:
-        """(qid, unit_id, score) of queries(qid, query) among the live units of that generation."""
+        """(qid, unit_id, score) of queries(qid, query) among the live units of that (committed) generation."""
         terms = retrieval.query_terms(queries)
         wanted = [r[0] for r in terms.select(bucket(F.col("term"))).distinct().collect()]  # BUCKETS numbers at most
         p = self._read("postings", POSTINGS).where(F.col("bucket").isin(wanted) & (F.col("generation") <= generation))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,18 @@ class Registry:
             raise KeyError(f"no such lane: {sorted(set(names) - set(self._lanes))}")
         parts = [self._lanes[n](context).select(F.lit(n).alias("lane"), F.col("unit_id").cast("long").alias("unit_id"), F.col("score").cast("double").alias("score")) for n in names]
         return reduce(DataFrame.unionByName, parts)
+
+
+class Features:
+    """Named, weighted functions that give a Column each; a null feature counts as neutral, 0.5."""
+
+    def __init__(self):
+        self._features: dict[str, tuple[float, Callable[[], Column]]] = {}
+
+    def register(self, name: str, weight: float, fn: Callable[[], Column]) -> None:
+        if name in self._features:
+            raise ValueError(f"{name} is registered twice")
+        self._features[name] = (weight, fn)
+
+    def score(self) -> Column:
+        return reduce(lambda a, b: a + b, (w * F.coalesce(fn(), F.lit(0.5)) for w, fn in self._features.values()))

@@ -271,3 +271,54 @@ def resumed_backfill(spark, d):
         now = s.save(spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), f"pass{k}").select(F.lit(k).alias("pass"), "event_type", "n")
         passes = now if passes is None else passes.unionByName(now)
     return passes
+
+
+# text, anchor, and the expected mentions, read off by hand
+MENTIONED = "(1, 'met on 2024-02-03 and again the other day', '2024-05-15 12:00:00'), (2, 'since 2020', '2024-05-15 00:00:00'), (3, 'nothing dated', '2024-05-15 00:00:00'), (4, 'late March 2023 or someday', '2024-05-15 00:00:00')"
+EXPECTED = """(1, '2024-02-03', TIMESTAMP '2024-02-03 00:00:00', TIMESTAMP '2024-02-04 00:00:00', 'day'), (1, 'the other day', TIMESTAMP '2024-05-08 00:00:00', TIMESTAMP '2024-05-15 00:00:00', 'week'),
+(2, '2020', TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP '2024-05-15 00:00:00', 'year'), (4, 'late march 2023', TIMESTAMP '2023-03-21 00:00:00', TIMESTAMP '2023-04-01 00:00:00', 'day'), (4, 'someday', NULL, NULL, 'unknown')"""
+
+
+@query("relative_mentions", f"SELECT unit_id, phrase, epoch_us(s) AS start_us, epoch_us(e) AS end_us, grade AS precision FROM (VALUES {EXPECTED}) AS v(unit_id, phrase, s, e, grade)")
+def relative_mentions(spark, d):
+    """The dated mentions that a unit gets when it is written."""
+    from loomwork.functions.timephrases import time_phrases
+
+    t = rows(spark, MENTIONED, "unit_id INT, text STRING, at STRING").withColumn("anchor", F.unix_micros(F.to_timestamp("at")))
+    return t.select("unit_id", F.explode(time_phrases("text", "anchor")).alias("m")).select("unit_id", "m.*")
+
+
+CLASS_FLOORS = "('lookup', 0.5, 0.2), ('temporal', 0.4, 0.1), ('count', 0.8, 0.5)"
+
+
+@query("class_verdicts", f"""WITH f AS (SELECT * FROM (VALUES {CLASS_FLOORS}) AS v(class, hi, lo)), e AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'lookup' WHEN 'click' THEN 'temporal' WHEN 'purchase' THEN 'count' ELSE 'other' END AS class, value / 100 AS support FROM events)
+SELECT event_id, CASE WHEN hi IS NULL THEN 'unrated' WHEN support >= hi THEN 'answer' WHEN support >= lo THEN 'hedge' ELSE 'abstain' END AS verdict FROM e LEFT JOIN f USING (class)""")
+def class_verdicts(spark, d):
+    """Per-class thresholds on support."""
+    kind = F.when(F.col("event_type") == "view", "lookup").when(F.col("event_type") == "click", "temporal").when(F.col("event_type") == "purchase", "count").otherwise("other")
+    e = load(spark, d, "events").select("event_id", kind.alias("class"), (F.col("value") / 100).alias("support"))
+    f = F.broadcast(rows(spark, CLASS_FLOORS, "class STRING, hi DOUBLE, lo DOUBLE"))  # a table of rules
+    verdict = F.when(F.col("hi").isNull(), "unrated").when(F.col("support") >= F.col("hi"), "answer").when(F.col("support") >= F.col("lo"), "hedge").otherwise("abstain")
+    return e.join(f, "class", "left").select("event_id", verdict.alias("verdict"))
+
+
+@query("hard_identifier_abstention", """WITH a AS (SELECT o_orderkey AS qid, unnest([o_custkey, o_custkey + 100000 * (o_orderkey % 3)]) AS id FROM orders WHERE o_orderkey % 20 = 0), h AS (SELECT qid, id, id IN (SELECT c_custkey FROM customer) AS found FROM (SELECT DISTINCT qid, id FROM a))
+SELECT qid, CASE WHEN count(*) FILTER (found) = 0 THEN 'abstain' WHEN count(*) FILTER (NOT found) > 0 THEN 'partial' ELSE 'answer' END AS verdict FROM h GROUP BY 1""")
+def hard_identifier_abstention(spark, d):
+    """A question whose identifiers match nothing is not answered; one with some of them only in part."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    a = load(spark, d, "orders").where("o_orderkey % 20 = 0").select(k.alias("qid"), F.explode(F.array(c, c + 100000 * (k % 3))).alias("id")).distinct()
+    known = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit(True).alias("found"))
+    g = a.join(known, "id", "left").groupBy("qid").agg(F.count("found").alias("n"), F.count(F.lit(1)).alias("all"))
+    return g.select("qid", F.when(F.col("n") == 0, "abstain").when(F.col("n") < F.col("all"), "partial").otherwise("answer").alias("verdict"))
+
+
+@query("feature_functions", """SELECT event_id, round(0.7 * least(value / 100, 1) + 0.3 * CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END, 6)::DOUBLE AS score FROM events""")
+def feature_functions(spark, d):
+    """Features that callers inject as functions, weighted and summed."""
+    from loomwork.operators import lanes
+
+    reg = lanes.Features()
+    reg.register("size", 0.7, lambda: F.least(F.col("value") / 100, F.lit(1.0)))
+    reg.register("kind", 0.3, lambda: F.col("event_type").isin("purchase", "signup").cast("double"))
+    return load(spark, d, "events").select("event_id", F.round(reg.score(), 6).alias("score"))

@@ -21,6 +21,33 @@ def test_life_of_a_unit(spark, tmp_path):
     assert e.search("apple").first().text == "apple again"
 
 
+def test_failed_ingest_is_never_seen(spark, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "store"))
+    row = lambda t: spark.createDataFrame([(1, t)], "unit_id long, text string")
+    assert e.ingest(row("old words"), key="a") == 1
+    with monkeypatch.context() as m:
+        m.setattr(e, "_commit", lambda g, key: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            e.ingest(row("torn words"))
+    assert e.units().first().text == "old words" and e.search("torn").count() == 0
+    assert e.ingest(row("ignored"), key="a") == 1 and e.units().first().text == "old words"
+    g = e.ingest(row("new words"), key="b")
+    assert g == 3 and e.search("new").first().unit_id == 1 and e.search("old").count() == 0
+    assert e.search("old", as_of=2).count() == 1
+    e.forget(spark.createDataFrame([(1,)], "unit_id long"))
+    assert [(r.event, r.text) for r in e.inspect(1).collect()] == [("stored", "old words"), ("stored", "new words"), ("erased", None)]
+
+
+def test_backup(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    e.ingest(spark.createDataFrame([(1, "one"), (2, "two")], "unit_id long, text string"))
+    e.forget(spark.createDataFrame([(1,)], "unit_id long"))
+    copy = e.backup(str(tmp_path / "copy"))
+    assert [r.text for r in copy.units().collect()] == ["two"] and copy.search("two").count() == 1
+    with pytest.raises(ValueError):
+        e.backup(str(tmp_path / "copy"))
+
+
 def test_pack_equals_a_plain_loop(spark):
     rows = [(q, q * 100 + r, r, (r * 37 + q * 11) % 90 + 1) for q in range(4) for r in range(1, 30)]
     got = {(r.qid, r.unit_id) for r in packing.pack(spark.createDataFrame(rows, "qid long, unit_id long, rank int, tokens long"), 300).collect()}
