@@ -69,9 +69,24 @@ def episodes(units: DataFrame) -> DataFrame:
     a, b = F.array_distinct("a"), F.array_distinct("b")
     size = F.sqrt(F.size("a").cast("double") * F.size("b"))
     u = u.withColumn("a", a).withColumn("b", b).withColumn("gap", F.when(size > 0, F.round(F.size(F.array_intersect("a", "b")) / size, 9)))
-    s = W.partitionBy("session_id")
-    mean, dev, n = F.avg("gap").over(s), F.stddev_pop("gap").over(s), F.count(F.lit(1)).over(s)
-    u = u.withColumn("mean", mean).withColumn("dev", dev).withColumn("n", n)
+    return cut_episodes(u)
+
+
+def cut_episodes(u: DataFrame) -> DataFrame:
+    """(unit_id, session_id, episode) of units with the gap before them (null: none)."""
+    w = W.partitionBy("session_id").orderBy("seq", "unit_id")
+    # mean and deviation by Welford's steps in turn order: of two gaps the lower is mean - deviation, and the rounding of these steps decides
+    gaps = F.transform(F.array_sort(F.collect_list(F.when(F.col("gap").isNotNull(), F.struct("seq", "unit_id", "gap")))), lambda x: x["gap"])
+
+    def step(acc, x):
+        k = acc["k"] + 1
+        mean = acc["mean"] + (x - acc["mean"]) / k
+        return F.struct(k.alias("k"), (acc["sum"] + x).alias("sum"), mean.alias("mean"), (acc["sq"] + (x - mean) * (x - acc["mean"])).alias("sq"))
+
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("k", "sum", "mean", "sq")])
+    each = u.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), gaps.alias("gaps")).withColumn("m", F.aggregate("gaps", start, step))
+    each = each.where("m.k > 0").select(F.col("session_id").alias("of"), "n", (F.col("m.sum") / F.col("m.k")).alias("mean"), F.sqrt(F.col("m.sq") / F.col("m.k")).alias("dev"))
+    u = u.join(each, F.col("session_id").eqNullSafe(F.col("of")), "left")
     cut = (F.col("n") >= 3) & (F.col("gap") < F.col("mean") - F.col("dev")) & (F.col("gap") <= F.col("mean") / 2)
     u = u.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("long"))
     return u.select("unit_id", "session_id", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("episode"))

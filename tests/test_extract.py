@@ -63,3 +63,11 @@ def test_causes_and_aliases(spark):
     c = spark.createDataFrame([(x,) for x in ("mary smith", "mary", "smith", "john smith", "john s", "pat")], "canon string")
     got = {(r.alias, r.canon, r.rule, r.status) for r in extract.aliases(c, spark.createDataFrame([("pat", "mary smith")], "alias string, canon string")).collect()}
     assert got == {("mary", "mary smith", "A1", "active"), ("smith", "mary smith", "A6", "candidate"), ("smith", "john smith", "A6", "candidate"), ("john s", "john smith", "A2", "active"), ("pat", "mary smith", "A3", "active")}
+
+
+def test_episode_starts_at_the_rounding_of_two_gaps(spark):
+    # of two gaps the lower is mean - deviation; Welford's steps round its 0.050251891 up and 0.040563696 not
+    for low, high, starts in ((0.050251891, 0.180980691, 1), (0.040563696, 0.138928221, 0)):
+        rows = [(k, 1, k, g) for k, g in enumerate([None, high, low])]
+        u = spark.createDataFrame(rows, "unit_id long, session_id long, seq long, gap double")
+        assert [r.episode for r in extract.cut_episodes(u).orderBy("seq").collect()] == [0, 0, starts]
