@@ -38,3 +38,10 @@ def test_polarity_order(spark):
     kinds = {"I no longer like tea": "preference", "we decided to ship": "decision", "she manages to sleep": "untyped", "she manages ops": "relationship", None: "untyped"}
     df = spark.createDataFrame([(t,) for t in kinds], "t string")
     assert [r.p for r in df.select(markers.memory_type(F.col("t")).alias("p")).collect()] == list(kinds.values())
+
+
+def test_markers_are_bounded_by_ascii_words(spark):
+    """As in the SQL: letters beyond ASCII, no-break spaces and vertical tabs are neither words nor white space."""
+    texts = {"No\u00f1as": "negated", "\u00f1no": "negated", "nos": "affirmative", "no_": "affirmative", "in\u00a0case": "affirmative", "in\x0bcase": "affirmative", "in\tcase": "hypothetical", "ask\rthat": "hedged"}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.p for r in df.select(markers.polarity(F.col("t")).alias("p")).collect()] == list(texts.values())
