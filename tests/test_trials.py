@@ -45,3 +45,9 @@ def test_markers_are_bounded_by_ascii_words(spark):
     texts = {"No\u00f1as": "negated", "\u00f1no": "negated", "nos": "affirmative", "no_": "affirmative", "in\u00a0case": "affirmative", "in\x0bcase": "affirmative", "in\tcase": "hypothetical", "ask\rthat": "hedged"}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r.p for r in df.select(markers.polarity(F.col("t")).alias("p")).collect()] == list(texts.values())
+
+
+def test_guards_see_ascii_words(spark):
+    pairs = [("No\u00f1as 3", "yes 3", False), ("No\u00f1as 3", "no 3", True), ("as\u00f1 3", "es\u00f1 3", True)]
+    df = spark.createDataFrame(pairs, "a string, b string, may boolean")
+    assert all(r.may == r.got for r in df.select("may", markers.same_guards(F.col("a"), F.col("b")).alias("got")).collect())
