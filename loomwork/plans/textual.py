@@ -92,14 +92,9 @@ def entity_mentions(spark, d):
 @query("substring_lane", """WITH q AS (SELECT item_id, text[11:18] AS needle FROM benchmark WHERE length(text) >= 18)
 SELECT item_id, doc_id FROM q JOIN documents ON contains(documents.text, needle)""")
 def substring_lane(spark, d):
-    """Byte-exact containment of every item's needle of eight characters, as an equi-join on the documents' distinct character 8-grams."""
+    """Byte-exact containment of every item's needle of eight characters, as an equi-join on those 8-grams of the documents that may be needles."""
     q = load(spark, d, "benchmark").where("length(text) >= 18").select("item_id", F.substring("text", 11, 8).alias("gram"))
-    # only grams that start like some needle travel: a set of bounded size, 2^16 hash flags
-    flags = q.agg(F.collect_set(F.pmod(F.xxhash64(F.substring("gram", 1, 3)), F.lit(1 << 16)).cast("int")).alias("flags"))
-    docs = load(spark, d, "documents").where("length(text) >= 8").select("doc_id", "text")
-    grams = docs.select("doc_id", F.expr("explode(array_distinct(transform(sequence(1, length(text) - 7), i -> substring(text, i, 8))))").alias("gram"))
-    near = grams.join(F.broadcast(flags), F.array_contains("flags", F.pmod(F.xxhash64(F.substring("gram", 1, 3)), F.lit(1 << 16)).cast("int")))
-    return near.join(q, "gram").select("item_id", "doc_id")
+    return dedup.grams_among(load(spark, d, "documents").select("doc_id", "text"), q, 8).join(q, "gram").select("item_id", "doc_id")
 
 
 @query("benchmark_overlap", f"""WITH b AS (SELECT item_id, {tok('text')} AS w FROM benchmark), bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS g FROM b),
