@@ -71,3 +71,31 @@ def test_query(spark, sf):
     raw = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas().set_index("vec_id").sort_index()
     n, comp = brute(np.stack(raw.embedding), 0.95)
     assert (out.n_links.to_numpy() == n).all() and (out.component_id.to_numpy() == raw.index.to_numpy()[comp]).all()
+
+
+def test_vectors_move_once_whatever_the_pairs_of_tiles(spark):
+    """Sixty-odd tiles in one another's reach: before, a vector was shuffled to each of their pairs."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(4000, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, 1, x.tolist()) for i, x in enumerate(v)], "id long, n long, vec array<float>")
+    written = lambda: sum(e.totalShuffleWrite() for e in _executors(spark))
+    before = written()
+    from loomwork.scratch import Scratch
+
+    out = ed.links(rows, Scratch(spark, "t"), 0.5, tile=64, leading=1).where("not edge").groupBy("u").sum("v").collect()
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True)
+    n = (u @ u.T >= 0.5).sum(1) - 1
+    assert {r[0]: r[1] for r in out} == {i: k for i, k in enumerate(n.tolist()) if k}
+    assert written() - before < 3 * v.nbytes
+
+
+def _executors(spark):
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_copies_far_apart_become_one_class(spark):
+    v = np.random.default_rng(6).normal(size=(50, 16)).astype(np.float32)
+    rows = [(1000 * k + i, x.tolist()) for k in range(40) for i, x in enumerate(v)]
+    out = ed.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(20)).collect()
+    assert len(out) == 2000 and all(r.n_links == 39 and r.component == r.id % 1000 for r in out)
