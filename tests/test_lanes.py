@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 
+from loomwork.operators import retrieval as R
 from loomwork.operators.nearest import cosine_nearest
 from loomwork.plans import registry
 
@@ -63,3 +64,10 @@ def test_nearest_of_odd_vectors(spark):
         best = sorted(got[qid], reverse=True)[:10]
         assert [(a, c) for a, _, c in best] == [(a, c) for a, _, c in sorted(want, reverse=True)[:10]]
         assert np.allclose([b for _, b, _ in best], [b for _, b, _ in sorted(want, reverse=True)[:10]])
+
+
+def test_respelling_counts_bytes(spark):
+    terms = spark.createDataFrame([(1, "nachte"), (1, "rscho")], "qid int, term string")
+    vocabulary = spark.createDataFrame([(t,) for t in ("\u00dfachte", "aachie", "nachts", "\u00dfscho", "rschu", "\u00df\u00dfchte")], "term string")
+    got = {(r.term, r.near, r.distance) for r in R.fuzzy_terms(terms, vocabulary).collect()}
+    assert got == {("nachte", "\u00dfachte", 2), ("nachte", "aachie", 2), ("nachte", "nachts", 1), ("rscho", "rschu", 1)}
