@@ -81,7 +81,7 @@ def group_bits(co: np.ndarray, n: int, parts: int) -> list[list[int]]:
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(cov / np.outer(sd, sd))
     np.fill_diagonal(corr, 0)
-    free, out, width = set(range(BITS)), [], BITS // parts
+    free, out, width = set(range(len(co))), [], len(co) // parts
     for _ in range(parts):
         f = sorted(free)
         sub = corr[np.ix_(f, f)]

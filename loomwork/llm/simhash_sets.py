@@ -12,7 +12,15 @@ The SimHash operator's second interface: documents are linked that share
    p^width, p = 1 - acos(2 s / (1 + s)) / pi, so the number of partitions is
    chosen for a chance of ``miss`` that none does.  The width follows the number
    of documents, so that a bucket has some tens of chance members at any size.
-3. Members of a bucket are compared by 128 more bits, and close ones verified by
+   Correlated bits share a partition.
+3. Every fingerprint has a threshold t >= -1 for each partition, with sum 0: it
+   is in the bucket of its own value, and asks there (0 or more), also in those
+   of the values within t bits (probes), or not at all (-1).  A dynamic programme
+   finds the thresholds of least expected cost from the counts of all buckets.
+   Fingerprints that differ in fewer bits than there are partitions still meet;
+   a threshold of 1 meets over twice as many similar sets as one of 0, so that
+   a sum of 0 misses no more of them than thresholds that are all 0.
+4. Members of a bucket are compared by 128 more bits, and close ones verified by
    their exact shingle sets: first each member with its smallest close leader;
    then all close pairs of buckets that are not connected so far.  So a large
    group of copies costs about one verification a member, and no close pair is
@@ -34,6 +42,7 @@ from pyspark.sql import functions as F
 
 from loomwork.llm.arrow import bound_batches, slices
 from loomwork.llm.graph import connected_components
+from loomwork.llm.simhash import PAIR_COST, allocate, ball_counts, group_bits
 from loomwork.scratch import Scratch
 
 SKETCH = 128
@@ -41,6 +50,9 @@ SKETCH = 128
 #: this; unrelated ones in 64, give or take 5.7.
 CLOSE = 34
 CHUNK = 8192
+#: Fingerprints that the grouping of the bits is fitted on, and bits of a histogram; both affect costs, never results.
+FITTED, CELL_BITS = 16384, 12
+INDEX, BOTH, PROBE = 0, 1, 2
 
 
 def agreement(least: float) -> float:
@@ -101,26 +113,136 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, words: int, bits: int)
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, th long, cid long, n long, sig binary")
 
 
-def _keys(sig: pa.Array, width: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """[rows, parts] bucket keys and [rows, 2] sketches."""
-    raw = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(sig), -1)
-    bits = np.unpackbits(raw[:, SKETCH // 8 :], axis=1)[:, : width * parts].reshape(len(sig), parts, width)
-    values = bits.astype(np.int64) @ (1 << np.arange(width))
-    return values + (np.arange(parts) << width), raw[:, : SKETCH // 8].copy().view(np.int64)
+class Plan:
+    """Partitions of a fingerprint's bits, and thresholds by the counts of their buckets.
 
+    ``order`` lists the bits, partition by partition.  Counts of partitions of
+    over CELL_BITS bits come from histograms of their parts, which are taken to
+    be independent; that affects costs, never results.
+    """
+
+    def __init__(self, order: np.ndarray, width: int, pair_cost: float = PAIR_COST):
+        self.order, self.width, self.parts, self.pair_cost = order, width, len(order) // width, pair_cost
+        self.joined = -(-width // CELL_BITS)
+        self.bits = -(-width // self.joined)
+        self.flips = 1 << np.arange(width)
+
+    def count(self, cells: np.ndarray, n: np.ndarray) -> Plan:
+        """Takes the counts of the cells that ``cells`` gives."""
+        hist = np.zeros(self.parts * self.joined << self.bits)
+        hist[cells] = n
+        hist = hist.reshape(self.parts, self.joined, -1)
+        self.rows = max(float(hist[0, 0].sum()), 1.0)
+        self.shell = np.array([[np.diff(ball_counts(h, 1), axis=0, prepend=0) for h in hs] for hs in hist], np.float32)  # part, piece, radius, value
+        return self
+
+    def values(self, sig: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """[rows, parts] values of the partitions and [rows, 2] sketches."""
+        raw = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(sig), -1)
+        bits = np.unpackbits(raw[:, SKETCH // 8 :], axis=1)[:, self.order].reshape(len(sig), self.parts, self.width)
+        return bits.astype(np.int64) @ self.flips, raw[:, : SKETCH // 8].copy().view(np.int64)
+
+    def near(self, values: np.ndarray) -> np.ndarray:
+        """[rows, parts, 2]: expected members of the buckets within 0 and 1 bits."""
+        part = np.arange(self.parts)
+        same, next_ = np.ones(values.shape), np.zeros(values.shape)
+        for j in range(self.joined):
+            v = (values >> (self.bits * j)) & ((1 << self.bits) - 1)
+            a, b = self.shell[part, j, 0, v], self.shell[part, j, 1, v]
+            if j:
+                a, b = a / self.rows, b / self.rows
+            same, next_ = same * a, same * b + next_ * a
+        return np.stack([same, same + next_], axis=2)
+
+    def limits(self, values: np.ndarray) -> np.ndarray:
+        """[rows, parts]: thresholds of least cost with sum 0."""
+        cost = np.zeros((*values.shape, 3))
+        cost[:, :, 1:] = self.pair_cost * self.near(values)
+        cost[:, :, 2] += self.width  # rows of the probes; the bucket of the own value has one anyway
+        out = np.zeros(values.shape, np.int64)
+        # no exchange of a partition for a probed one gains where the largest bucket costs less than the cheapest probes
+        gain = np.flatnonzero(cost[:, :, 1].max(1) > (cost[:, :, 2] - cost[:, :, 1]).min(1))
+        if len(gain):
+            out[gain] = allocate(cost[gain], 0)
+        return out
+
+
+def _order(classes: DataFrame, width: int, parts: int) -> np.ndarray:
+    """The bits in partitions of correlated ones, fitted on up to about FITTED classes by their hash."""
+    every = -(-classes.count() // FITTED)
+    some = classes.where((F.col("n") > 0) & (F.pmod("cid", F.lit(max(every, 1))) == 0)).select("sig").repartition(1)
+    total = width * parts
+
+    def run(batches):
+        co, n = np.zeros((total, total), np.float32), 0
+        for b in batches:
+            if b.num_rows:
+                raw = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint8).reshape(b.num_rows, -1)
+                bits = np.unpackbits(raw[:, SKETCH // 8 :], axis=1)[:, :total].astype(np.float32)
+                co += bits.T @ bits
+                n += len(bits)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(range(total)), pa.array(np.concatenate(group_bits(co.astype(float), n, parts)))], names=["at", "bit"])
+
+    got = some.mapInArrow(run, "at long, bit long").toPandas()  # one row a bit
+    return got.sort_values("at")["bit"].to_numpy() if len(got) else np.arange(total)
 
-def _members(classes: DataFrame, width: int, parts: int) -> DataFrame:
-    """(key, cid, root, s0, s1): every class (cid, root, n, sig) in each of its buckets."""
+
+def _counted(classes: DataFrame, plan: Plan) -> Plan:
+    """The plan with the counts of all classes."""
+    pieces = np.arange(plan.joined) * plan.bits
+
+    def run(batches):
+        hist = np.zeros(plan.parts * plan.joined << plan.bits, np.int64)
+        base = np.arange(plan.parts * plan.joined).reshape(plan.parts, plan.joined) << plan.bits
+        for b in batches:
+            if b.num_rows:
+                v = plan.values(b.column("sig"))[0][:, :, None] >> pieces
+                hist += np.bincount((base + (v & ((1 << plan.bits) - 1))).ravel(), minlength=len(hist))
+        at = np.flatnonzero(hist)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hist[at])], names=["cell", "n"])
+
+    found = classes.where("n > 0").select("sig").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2^CELL_BITS a piece at most
+    return plan.count(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+
+
+def _asked(classes: DataFrame, shared) -> DataFrame:
+    """(cid, n, sig, limits): every class with words and its thresholds, a byte each."""
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 c = b.slice(lo, 1024)
-                keys, sketch = _keys(c.column("sig"), width, parts)
-                cols = [keys.ravel(), *(np.repeat(x, parts) for x in (np.asarray(c.column("cid")), np.asarray(c.column("root")), sketch[:, 0], sketch[:, 1]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "cid", "root", "s0", "s1"])
+                t = shared.value.limits(shared.value.values(c.column("sig"))[0]).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array([r.tobytes() for r in t], pa.binary())], names=["cid", "n", "sig", "limits"])
+
+    return classes.where("n > 0").select("cid", "n", "sig").mapInArrow(run, "cid long, n long, sig binary, limits binary")
+
+
+def _places(plan: Plan, sig: pa.Array, limits: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, bucket keys and roles of the buckets that fingerprints are in or probe, and all sketches."""
+    values, sketch = plan.values(sig)
+    t = np.frombuffer(b"".join(limits.to_pylist()), np.int8).reshape(values.shape)
+    base = np.arange(plan.parts) << plan.width
+    i, k = np.nonzero(t > 0)
+    probed = (base[k] + values[i, k])[:, None] ^ plan.flips
+    at = np.append(np.repeat(np.arange(len(values)), plan.parts), np.repeat(i, plan.width))
+    role = np.append(np.where(t.ravel() < 0, INDEX, BOTH), np.full(probed.size, PROBE)).astype(np.int32)
+    return at, np.append((base + values).ravel(), probed.ravel()), role, sketch
 
-    return classes.where("n > 0").select("cid", "root", "sig").mapInArrow(run, "key long, cid long, root long, s0 long, s1 long")
+
+def _members(classes: DataFrame, shared) -> DataFrame:
+    """(key, cid, root, s0, s1, role): every class (cid, root, n, sig, limits) in each of its buckets."""
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 1024):
+                c = b.slice(lo, 1024)
+                at, keys, role, sketch = _places(shared.value, c.column("sig"), c.column("limits"))
+                cols = [keys, *(x[at] for x in (np.asarray(c.column("cid")), np.asarray(c.column("root")), sketch[:, 0], sketch[:, 1])), role]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "cid", "root", "s0", "s1", "role"])
+
+    return classes.where("n > 0").select("cid", "root", "sig", "limits").mapInArrow(run, "key long, cid long, root long, s0 long, s1 long, role int")
 
 
 def _chunked(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -129,16 +251,16 @@ def _chunked(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return rows.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
 
 
-def _hot(classes: DataFrame, width: int, parts: int) -> DataFrame:
-    """(key, chunks) of the buckets with over CHUNK members."""
+def _hot(classes: DataFrame, shared) -> DataFrame:
+    """(key, chunks) of the buckets with over CHUNK members and probes."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                keys, n = np.unique(_keys(b.column("sig"), width, parts)[0], return_counts=True)
+                keys, n = np.unique(_places(shared.value, b.column("sig"), b.column("limits"))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
 
-    counts = classes.where("n > 0").select("sig").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = classes.where("n > 0").select("sig", "limits").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
 
 
@@ -166,7 +288,12 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return apart <= CLOSE
 
 
-def close_pairs(cid: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """[len(a), len(b)]: whether one of the two is in the bucket and the other asks there."""
+    return (a[:, None] != b[None, :]) | (a[:, None] == BOTH)
+
+
+def close_pairs(cid: np.ndarray, sketch: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Close pairs (u < v) of a bucket sorted by cid, all of them if few.
 
     If many, each member with one smaller close one; the third result then names
@@ -174,7 +301,7 @@ def close_pairs(cid: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.nda
     """
     none = np.zeros(0, np.int64)
     if len(cid) <= 512:
-        near = np.triu(_near(sketch, sketch), 1)
+        near = np.triu(_near(sketch, sketch) & _meet(role, role), 1)
         i, j = np.nonzero(near)
         if len(i) <= 2 * len(cid):
             return cid[i], cid[j], none
@@ -182,7 +309,7 @@ def close_pairs(cid: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.nda
         return cid[near[:, own].argmax(0)], cid[own], cid[near.any(0) | near.any(1)]
     left, us, vs = np.arange(len(cid)), [], []
     while len(left) > 1:
-        near = _near(sketch[left[:1]], sketch[left[1:]])[0]
+        near = (_near(sketch[left[:1]], sketch[left[1:]]) & _meet(role[left[:1]], role[left[1:]]))[0]
         got = left[1:][near]
         us.append(np.full(len(got), cid[left[0]]))
         vs.append(cid[got])
@@ -195,9 +322,9 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         held, more, n = [], [], 0
-        for _, _, cid, s0, s1 in _buckets(batches, ["key", "chunk", "cid", "s0", "s1"]):
+        for _, _, cid, s0, s1, role in _buckets(batches, ["key", "chunk", "cid", "s0", "s1", "role"]):
             if len(cid) > 1:
-                u, v, open_ = close_pairs(cid, np.stack([s0, s1], axis=1).view(np.uint64))
+                u, v, open_ = close_pairs(cid, np.stack([s0, s1], axis=1).view(np.uint64), role)
                 held.append((u, v))
                 more.append(open_)
                 n += len(u) + len(open_)
@@ -217,12 +344,12 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "cid").mapInArrow(run, "u long, v long")
 
 
-def _cross(sketch, root, cid, a, b):
+def _cross(sketch, root, cid, role, a, b):
     """Batches of close pairs between rows a and b with different roots."""
     step = max(1, (1 << 20) // max(len(b), 1))
     for lo in range(0, len(a), step):
         x = a[lo : lo + step]
-        differ = root[x][:, None] != root[b][None, :]
+        differ = (root[x][:, None] != root[b][None, :]) & _meet(role[x], role[b])
         if differ.any():
             i, j = np.nonzero(differ & _near(sketch[x], sketch[b]))
             if len(i):
@@ -240,12 +367,12 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        for _, _, cid, root, s0, s1 in _buckets(batches, ["key", "chunk", "cid", "root", "s0", "s1"]):
+        for _, _, cid, root, s0, s1, role in _buckets(batches, ["key", "chunk", "cid", "root", "s0", "s1", "role"]):
             if (root != root[0]).any():
                 # members outside the largest component, against all
                 roots, count = np.unique(root, return_counts=True)
                 few = np.flatnonzero(root != roots[count.argmax()])
-                for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, few, np.arange(len(cid))):
+                for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, role, few, np.arange(len(cid))):
                     held.append(pair)
                     n += len(pair[0])
             if n > 1 << 18:
@@ -266,12 +393,12 @@ def _hot_pairs(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     split = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "most")
     open_ = rows.join(split, "key")
-    few = open_.where("root != most").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cid", "root", "s0", "s1")
-    both = few.union(open_.select("key", "chunk", F.lit(1).alias("side"), "cid", "root", "s0", "s1"))
+    few = open_.where("root != most").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cid", "root", "s0", "s1", "role")
+    both = few.union(open_.select("key", "chunk", F.lit(1).alias("side"), "cid", "root", "s0", "s1", "role"))
 
     def run(batches):
-        for _, _, side, cid, root, s0, s1 in _buckets(batches, ["key", "chunk", "side", "cid", "root", "s0", "s1"]):
-            for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, np.flatnonzero(side == 0), np.flatnonzero(side == 1)):
+        for _, _, side, cid, root, s0, s1, role in _buckets(batches, ["key", "chunk", "side", "cid", "root", "s0", "s1", "role"]):
+            for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, role, np.flatnonzero(side == 0), np.flatnonzero(side == 1)):
                 yield _batch([pair])
 
     return both.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "u long, v long").distinct()
@@ -330,11 +457,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     return scratch.save(both.select("u", "v", "text_u", "text_v").mapInArrow(exact, "u long, v long"), "links")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, miss: float = 1e-4) -> DataFrame:
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, miss: float = 1e-4, pair_cost: float = PAIR_COST
+) -> DataFrame:
     """(id, component): rows linked by shingle similarity of ``least`` or more.
 
     ``component`` is the smallest id reachable.  A pair of exactly ``least``
-    shares no bucket with probability ``miss``, a nearer one less.  Null and
+    shares no bucket with probability ``miss``, a nearer one less.  ``pair_cost``
+    is what comparing a candidate costs against sending a probe.  Null and
     word-free texts form one class, texts under ``words`` words are one shingle;
     rows with a null id are left out.  Extra columns are ignored, an empty table
     gives an empty result.
@@ -347,8 +477,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = scratch.save(_signed(docs, id_col, text_col, words, width * parts), "own")
     classes = own.groupBy("cid").agg(F.min(F.struct("id", "th")).alias("low"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes = scratch.save(classes, "classes")
-    hot = scratch.save(_hot(classes, width, parts), "hot")
-    rows = _chunked(_members(classes.withColumn("root", F.col("cid")), width, parts), hot)
+    plan = _counted(classes, Plan(_order(classes, width, parts), width, pair_cost))
+    shared = docs.sparkSession.sparkContext.broadcast(plan)
+    placed = scratch.save(_asked(classes, shared), "placed")
+    hot = scratch.save(_hot(placed, shared), "hot")
+    rows = _chunked(_members(placed.withColumn("root", F.col("cid")), shared), hot)
     found = scratch.save(_first_pairs(rows.drop("root")), "found")
     pairs = found.where("v is not null").select("u", "v").distinct()
     args = (classes.select("cid", "low"), docs, id_col, text_col, words, least)
@@ -361,11 +494,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
     rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    rooted = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    rooted = placed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_ = found.where("v is null").select(F.col("u").alias("cid")).distinct()
-    more = _cross_pairs(_chunked(_members(rooted.join(open_, "cid", "left_semi"), width, parts), hot))
+    more = _cross_pairs(_chunked(_members(rooted.join(open_, "cid", "left_semi"), shared), hot))
     if hot.limit(1).count():
-        more = more.union(_hot_pairs(_chunked(_members(rooted, width, parts).join(hot.select("key"), "key", "left_semi"), hot))).distinct()
+        more = more.union(_hot_pairs(_chunked(_members(rooted, shared).join(hot.select("key"), "key", "left_semi"), hot))).distinct()
     rest = rest.union(_alike(more, classes, least, bits).select("u", "v")).distinct().join(star, ["u", "v"], "left_anti")
     links = links.unionByName(_verified(rest, *args))
 

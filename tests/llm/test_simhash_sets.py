@@ -103,5 +103,78 @@ def test_large_groups_and_split_buckets(spark, monkeypatch):
     assert {x.id: x.component for x in shingles.near_copies(df).collect()} == want
 
 
+def plan_of(values, width, parts, pair_cost):
+    plan = shingles.Plan(np.arange(width * parts), width, pair_cost)
+    cells, n = np.unique((np.arange(parts) << plan.bits) + values, return_counts=True)
+    return plan.count(cells, n)
+
+
+def test_thresholds_are_those_of_least_cost():
+    r = np.random.default_rng(3)
+    values = r.integers(0, 256, (600, 4))
+    values[:500, 1] = 7  # a bucket that most rows share
+    plan = plan_of(values, 8, 4, 0.05)
+    got = plan.limits(values)
+    assert (got.sum(1) == 0).all() and (got[:500, 1] == -1).all() and (got == 1).any()
+    near = np.array([[[np.sum(np.bitwise_count(values[:, k] ^ v) <= t) for t in (0, 1)] for k, v in enumerate(row)] for row in values])
+    assert np.allclose(plan.near(values), near)
+
+    def cost(i, ts):
+        return sum(0 if t < 0 else 0.05 * near[i, k, t] + 8 * t for k, t in enumerate(ts))
+
+    for i in range(0, 600, 37):
+        best = min(cost(i, ts) for ts in itertools.product((-1, 0, 1), repeat=4) if sum(ts) == 0)
+        assert abs(cost(i, got[i]) - best) < 1e-6
+
+
+def test_counts_of_wide_partitions():
+    r = np.random.default_rng(4)
+    sig = np.packbits(r.integers(0, 2, (3000, shingles.SKETCH + 14 * 3 + 6), np.uint8), axis=1)
+    plan = shingles.Plan(r.permutation(42), 14)
+    values = plan.values(shingles.pa.array([x.tobytes() for x in sig]))[0]
+    assert plan.joined == 2 and plan.bits == 7 and values.max() < 1 << 14
+    cells = np.arange(6).reshape(3, 2) * 128 + np.stack([values & 127, values >> 7], axis=2)
+    near = plan.count(*np.unique(cells, return_counts=True)).near(values)
+    assert near.shape == (3000, 3, 2) and 0.5 < near[:, :, 1].mean() / (3000 * 15 / 2**14) < 2
+
+
+def test_fingerprints_within_the_partitions_meet():
+    # bits that differ: fewer than partitions; a partition is left out (-1) wherever many share a value
+    r = np.random.default_rng(5)
+    width, parts = 8, 10
+    bits = r.integers(0, 2, (1, shingles.SKETCH + width * parts), np.uint8).repeat(300, 0)
+    for row in bits[1:]:
+        at = shingles.SKETCH + r.choice(width * parts, r.integers(1, 14), replace=False)
+        row[at] ^= 1
+    sig = shingles.pa.array([x.tobytes() for x in np.packbits(bits, axis=1)])
+    values = shingles.Plan(np.arange(width * parts), width).values(sig)[0]
+    plan = plan_of(values, width, parts, 1.0)
+    limits = plan.limits(values)
+    assert (limits == -1).any() and (limits == 1).any()
+    at, keys, role, _ = shingles._places(plan, sig, shingles.pa.array([x.tobytes() for x in limits.astype(np.int8)]))
+    met = set()
+    for key in np.unique(keys):
+        own = keys == key
+        i, j = np.nonzero(shingles._meet(role[own], role[own]))
+        met |= set(zip(at[own][i].tolist(), at[own][j].tolist()))
+    apart = (bits[:, None] != bits[None]).sum(2)
+    want = [(i, j) for i, j in zip(*np.nonzero(apart < parts)) if i != j]
+    assert len(want) > 100 and set(want) <= met
+
+
+def test_unequal_thresholds_equal_brute_force(spark):
+    r = random.Random(6)
+    words = [f"h{r.randrange(900)}" for _ in range(120)]
+    texts = near_texts(9)[:72]
+    for _ in range(150):  # a large group, most pairs of which are below the similarity
+        copy = list(words)
+        for at in r.sample(range(120), r.randrange(1, 6)):
+            copy[at] = "q" + str(r.randrange(10**6))
+        texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.id: x.component for x in shingles.near_copies(df, pair_cost=1.0).collect()}
+    assert got == dict(enumerate(components(texts)))
+
+
 def test_empty(spark):
     assert shingles.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
