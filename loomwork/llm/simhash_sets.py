@@ -53,6 +53,8 @@ CHUNK = 8192
 #: Fingerprints that the grouping of the bits is fitted on, and bits of a histogram; both affect costs, never results.
 FITTED, CELL_BITS = 16384, 12
 INDEX, BOTH, PROBE = 0, 1, 2
+#: Partitions in which a bucket with many close pairs names leaders; the others leave its members to the second round.
+LEADING = 16
 
 
 def agreement(least: float) -> float:
@@ -133,6 +135,7 @@ class Plan:
         hist[cells] = n
         hist = hist.reshape(self.parts, self.joined, -1)
         self.rows = max(float(hist[0, 0].sum()), 1.0)
+        self.most = np.array([[ball_counts(h, 1)[1] for h in hs] for hs in hist])
         self.shell = np.array([[np.diff(ball_counts(h, 1), axis=0, prepend=0) for h in hs] for hs in hist], np.float32)  # part, piece, radius, value
         return self
 
@@ -154,6 +157,11 @@ class Plan:
             same, next_ = same * a, same * b + next_ * a
         return np.stack([same, same + next_], axis=2)
 
+    def bound(self, keys: np.ndarray) -> np.ndarray:
+        """What the members and probes of the buckets can be at most: those within one bit in each piece of the value."""
+        part, values = keys >> self.width, keys & ((1 << self.width) - 1)
+        return np.min([self.most[part, j, (values >> (self.bits * j)) & ((1 << self.bits) - 1)] for j in range(self.joined)], axis=0)
+
     def limits(self, values: np.ndarray) -> np.ndarray:
         """[rows, parts]: thresholds of least cost with sum 0."""
         cost = np.zeros((*values.shape, 3))
@@ -231,8 +239,8 @@ def _places(plan: Plan, sig: pa.Array, limits: pa.Array) -> tuple[np.ndarray, np
     return at, np.append((base + values).ravel(), probed.ravel()), role, sketch
 
 
-def _members(classes: DataFrame, shared) -> DataFrame:
-    """(key, cid, root, s0, s1, role): every class (cid, root, n, sig, limits) in each of its buckets."""
+def _members(classes: DataFrame, shared, whole: bool = False) -> DataFrame:
+    """(key, cid, root, s0, s1, role): every class (cid, root, n, sig, limits) in each of its buckets; ``whole``: (n, sig) besides."""
 
     def run(batches):
         for b in batches:
@@ -240,9 +248,12 @@ def _members(classes: DataFrame, shared) -> DataFrame:
                 c = b.slice(lo, 1024)
                 at, keys, role, sketch = _places(shared.value, c.column("sig"), c.column("limits"))
                 cols = [keys, *(x[at] for x in (np.asarray(c.column("cid")), np.asarray(c.column("root")), sketch[:, 0], sketch[:, 1])), role]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "cid", "root", "s0", "s1", "role"])
+                more = [c.column(x).take(pa.array(at)) for x in names[6:]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), *more], names=names)
 
-    return classes.where("n > 0").select("cid", "root", "sig", "limits").mapInArrow(run, "key long, cid long, root long, s0 long, s1 long, role int")
+    schema = "key long, cid long, root long, s0 long, s1 long, role int" + ", n long, sig binary" * whole
+    names = [x.split()[0] for x in schema.split(", ")]
+    return classes.where("n > 0").select("cid", "root", "n", "sig", "limits").mapInArrow(run, schema)
 
 
 def _chunked(rows: DataFrame, hot: DataFrame) -> DataFrame:
@@ -253,12 +264,14 @@ def _chunked(rows: DataFrame, hot: DataFrame) -> DataFrame:
 
 def _hot(classes: DataFrame, shared) -> DataFrame:
     """(key, chunks) of the buckets with over CHUNK members and probes."""
+    most = CHUNK
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 keys, n = np.unique(_places(shared.value, b.column("sig"), b.column("limits"))[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+                big = shared.value.bound(keys) > most
+                yield pa.RecordBatch.from_arrays([pa.array(keys[big]), pa.array(n[big])], names=["key", "n"])
 
     counts = classes.where("n > 0").select("sig", "limits").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     return counts.where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
@@ -293,11 +306,11 @@ def _meet(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, None] != b[None, :]) | (a[:, None] == BOTH)
 
 
-def close_pairs(cid: np.ndarray, sketch: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def close_pairs(cid: np.ndarray, sketch: np.ndarray, role: np.ndarray, leading: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Close pairs (u < v) of a bucket sorted by cid, all of them if few.
 
-    If many, each member with one smaller close one; the third result then names
-    the members of which pairs may be left out.
+    If many, each member with one smaller close one where ``leading``, else none;
+    the third result then names the members of which pairs may be left out.
     """
     none = np.zeros(0, np.int64)
     if len(cid) <= 512:
@@ -305,8 +318,10 @@ def close_pairs(cid: np.ndarray, sketch: np.ndarray, role: np.ndarray) -> tuple[
         i, j = np.nonzero(near)
         if len(i) <= 2 * len(cid):
             return cid[i], cid[j], none
-        own = np.flatnonzero(near.any(0))
+        own = np.flatnonzero(near.any(0) & leading)
         return cid[near[:, own].argmax(0)], cid[own], cid[near.any(0) | near.any(1)]
+    if not leading:
+        return none, none, cid
     left, us, vs = np.arange(len(cid)), [], []
     while len(left) > 1:
         near = (_near(sketch[left[:1]], sketch[left[1:]]) & _meet(role[left[:1]], role[left[1:]]))[0]
@@ -317,14 +332,14 @@ def close_pairs(cid: np.ndarray, sketch: np.ndarray, role: np.ndarray) -> tuple[
     return np.concatenate(us), np.concatenate(vs), cid
 
 
-def _first_pairs(rows: DataFrame) -> DataFrame:
+def _first_pairs(rows: DataFrame, width: int) -> DataFrame:
     """(u, v): close pairs; a null v marks a class that may have more."""
 
     def run(batches):
         held, more, n = [], [], 0
-        for _, _, cid, s0, s1, role in _buckets(batches, ["key", "chunk", "cid", "s0", "s1", "role"]):
+        for key, _, cid, s0, s1, role in _buckets(batches, ["key", "chunk", "cid", "s0", "s1", "role"]):
             if len(cid) > 1:
-                u, v, open_ = close_pairs(cid, np.stack([s0, s1], axis=1).view(np.uint64), role)
+                u, v, open_ = close_pairs(cid, np.stack([s0, s1], axis=1).view(np.uint64), role, key[0] >> width < LEADING)
                 held.append((u, v))
                 more.append(open_)
                 n += len(u) + len(open_)
@@ -344,35 +359,53 @@ def _first_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk", "cid").mapInArrow(run, "u long, v long")
 
 
-def _cross(sketch, root, cid, role, a, b):
-    """Batches of close pairs between rows a and b with different roots."""
+def _limit(least: float, bits: int) -> tuple[float, float]:
+    """Bits in which the whole fingerprints of similar sets differ at most: of sets under a dozen shingles, and others.
+
+    Sets of a dozen shingles and more differ in 1 - ``agreement`` of the bits;
+    the smallest ones (four of five shingles) in up to 1.24 times that.  Four and
+    a half standard deviations are allowed on top.
+    """
+    p = 1 - agreement(least)
+    return tuple(q * bits + 4.5 * math.sqrt(q * (1 - q) * bits) for q in (min(0.5, 1.24 * p), p))
+
+
+def _cross(sketch, root, cid, role, n, sig, a, b, least):
+    """Batches of close pairs between rows a and b with different roots, whose whole fingerprints are no further apart than similar sets'."""
+    whole = np.frombuffer(b"".join(sig), np.uint64).reshape(len(sig), -1)
+    limit = _limit(least, 64 * whole.shape[1])
     step = max(1, (1 << 20) // max(len(b), 1))
     for lo in range(0, len(a), step):
         x = a[lo : lo + step]
         differ = (root[x][:, None] != root[b][None, :]) & _meet(role[x], role[b])
         if differ.any():
             i, j = np.nonzero(differ & _near(sketch[x], sketch[b]))
-            if len(i):
-                u, v = cid[x[i]], cid[b[j]]
-                yield np.minimum(u, v), np.maximum(u, v)
+            for at in range(0, len(i), 1 << 15):
+                p, q = x[i[at : at + (1 << 15)]], b[j[at : at + (1 << 15)]]
+                few, many = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+                d = np.bitwise_count(whole[p] ^ whole[q]).sum(1, dtype=np.int64)
+                keep = (d <= np.where(few < 12, *limit)) & (few >= many * least - 1e-9)
+                if keep.any():
+                    u, v = cid[p[keep]], cid[q[keep]]
+                    yield np.minimum(u, v), np.maximum(u, v)
 
 
 def _batch(found):
-    u, v = (np.concatenate(c) for c in zip(*found))
+    u, v = np.unique(np.concatenate([np.stack(c, axis=1) for c in found]), axis=0).T  # the same pairs come from many buckets
     return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def _cross_pairs(rows: DataFrame) -> DataFrame:
-    """(u, v): close pairs of a bucket chunk in different components; ``rows`` has the root besides."""
+def _cross_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(u, v): close pairs of a bucket chunk in different components; ``rows`` are whole members with their roots."""
 
     def run(batches):
         held, n = [], 0
-        for _, _, cid, root, s0, s1, role in _buckets(batches, ["key", "chunk", "cid", "root", "s0", "s1", "role"]):
+        for _, _, cid, root, s0, s1, *own in _buckets(batches, ["key", "chunk", "cid", "root", "s0", "s1", "role", "n", "sig"]):
             if (root != root[0]).any():
                 # members outside the largest component, against all
                 roots, count = np.unique(root, return_counts=True)
                 few = np.flatnonzero(root != roots[count.argmax()])
-                for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, role, few, np.arange(len(cid))):
+                for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, *own, few, np.arange(len(cid)), least):
                     held.append(pair)
                     n += len(pair[0])
             if n > 1 << 18:
@@ -384,7 +417,7 @@ def _cross_pairs(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "u long, v long").distinct()
 
 
-def _hot_pairs(rows: DataFrame) -> DataFrame:
+def _hot_pairs(rows: DataFrame, least: float) -> DataFrame:
     """The same for buckets of several chunks: (u, v) across chunks.
 
     Members outside a bucket's largest component go to all its chunks; each
@@ -393,26 +426,20 @@ def _hot_pairs(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     split = sizes.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "most")
     open_ = rows.join(split, "key")
-    few = open_.where("root != most").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cid", "root", "s0", "s1", "role")
-    both = few.union(open_.select("key", "chunk", F.lit(1).alias("side"), "cid", "root", "s0", "s1", "role"))
+    few = open_.where("root != most").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "cid", "root", "s0", "s1", "role", "n", "sig")
+    both = few.union(open_.select("key", "chunk", F.lit(1).alias("side"), "cid", "root", "s0", "s1", "role", "n", "sig"))
 
     def run(batches):
-        for _, _, side, cid, root, s0, s1, role in _buckets(batches, ["key", "chunk", "side", "cid", "root", "s0", "s1", "role"]):
-            for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, role, np.flatnonzero(side == 0), np.flatnonzero(side == 1)):
+        for _, _, side, cid, root, s0, s1, *own in _buckets(batches, ["key", "chunk", "side", "cid", "root", "s0", "s1", "role", "n", "sig"]):
+            for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, *own, np.flatnonzero(side == 0), np.flatnonzero(side == 1), least):
                 yield _batch([pair])
 
     return both.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "u long, v long").distinct()
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: float, bits: int) -> DataFrame:
-    """(u, v, d): the pairs whose whole fingerprints differ in d bits, no more than similar sets do.
-
-    Sets of a dozen shingles and more differ in 1 - ``agreement`` of the bits;
-    the smallest ones (four of five shingles) in up to 1.24 times that.  Four and
-    a half standard deviations are allowed on top.
-    """
-    p = 1 - agreement(least)
-    limit = [q * bits + 4.5 * math.sqrt(q * (1 - q) * bits) for q in (min(0.5, 1.24 * p), p)]
+    """(u, v, d): the pairs whose whole fingerprints differ in d bits, no more than similar sets do."""
+    limit = _limit(least, bits)
     sides = pairs
     for s in ("u", "v"):
         sides = sides.join(classes.select(F.col("cid").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}")), s)
@@ -482,7 +509,7 @@ def near_copies(
     placed = scratch.save(_asked(classes, shared), "placed")
     hot = scratch.save(_hot(placed, shared), "hot")
     rows = _chunked(_members(placed.withColumn("root", F.col("cid")), shared), hot)
-    found = scratch.save(_first_pairs(rows.drop("root")), "found")
+    found = scratch.save(_first_pairs(rows.drop("root"), width), "found")
     pairs = found.where("v is not null").select("u", "v").distinct()
     args = (classes.select("cid", "low"), docs, id_col, text_col, words, least)
     bits = 64 * -(-(width * parts + SKETCH) // 64)
@@ -496,9 +523,9 @@ def near_copies(
     rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
     rooted = placed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_ = found.where("v is null").select(F.col("u").alias("cid")).distinct()
-    more = _cross_pairs(_chunked(_members(rooted.join(open_, "cid", "left_semi"), shared), hot))
+    more = _cross_pairs(_chunked(_members(rooted.join(open_, "cid", "left_semi"), shared, True), hot), least)
     if hot.limit(1).count():
-        more = more.union(_hot_pairs(_chunked(_members(rooted, shared).join(hot.select("key"), "key", "left_semi"), hot))).distinct()
+        more = more.union(_hot_pairs(_chunked(_members(rooted, shared, True).join(hot.select("key"), "key", "left_semi"), hot), least)).distinct()
     rest = rest.union(_alike(more, classes, least, bits).select("u", "v")).distinct().join(star, ["u", "v"], "left_anti")
     links = links.unionByName(_verified(rest, *args))
 

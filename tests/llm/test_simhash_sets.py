@@ -176,5 +176,44 @@ def test_unequal_thresholds_equal_brute_force(spark):
     assert got == dict(enumerate(components(texts)))
 
 
+def test_second_round_sends_only_pairs_of_alike_fingerprints():
+    # sets of similarity 0.6 to 0.7 are mostly close by the sketch, and far apart by the whole fingerprint
+    r = random.Random(12)
+    base = [r.getrandbits(64) for _ in range(160)]
+    sets = [np.unique(np.array(base + [r.getrandbits(64) for _ in range(50)], np.uint64)) for _ in range(60)]
+    sets += [np.unique(np.append(sets[0][:-8], np.uint64(k))) for k in range(3)]
+    sig = np.array([shingles.vote(s, 12).tobytes() for s in sets], object)
+    sketch = np.array([np.frombuffer(x, np.uint64)[:2] for x in sig])
+    every = np.arange(len(sets))
+    n = np.array([len(s) for s in sets])
+    close = shingles._near(sketch, sketch).sum() - len(sets)
+    got = [p for u, v in shingles._cross(sketch, every, every, np.ones(len(sets), np.int32), n, sig, every, every, 0.8) for p in zip(u.tolist(), v.tolist())]
+    alike = {(i, j) for i in every for j in every if i < j and shingles.similar(sets[i], sets[j], 0.8)}
+    assert alike and alike <= set(got) and len(got) < close / 3
+
+
+def test_dense_buckets_name_leaders_in_some_partitions_only():
+    sketch = np.zeros((30, 2), np.uint64)
+    cid, both = np.arange(30), np.ones(30, np.int32)
+    u, v, open_ = shingles.close_pairs(cid, sketch, both)
+    assert (u == 0).all() and v.tolist() == list(range(1, 30)) and len(open_) == 30
+    u, v, open_ = shingles.close_pairs(cid, sketch, both, False)
+    assert not len(u) and not len(v) and len(open_) == 30
+    assert len(shingles.close_pairs(cid[:3], sketch[:3], both[:3], False)[0]) == 3
+
+
+def test_no_bucket_is_larger_than_its_bound():
+    r = np.random.default_rng(8)
+    values = r.integers(0, 256, (500, 4))
+    values[:200, 2] = 9
+    plan = plan_of(values, 8, 4, 1.0)
+    limits = plan.limits(values)
+    assert (limits == 1).any()
+    i, k = np.nonzero(limits > 0)
+    keys = np.append(((np.arange(4) << 8) + values).ravel(), (((k << 8) + values[i, k])[:, None] ^ plan.flips).ravel())
+    keys, n = np.unique(keys, return_counts=True)
+    assert (n <= plan.bound(keys)).all() and plan.bound(np.array([2 << 8 | 9]))[0] >= 200
+
+
 def test_empty(spark):
     assert shingles.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
