@@ -40,7 +40,7 @@ l AS (SELECT unit_id, p, k, n, lag(unit_id) OVER w AS prior, lag(p) OVER w AS pp
 SELECT unit_id, prior, p = pp AND k = pk AND n = pn AS may_link FROM l WHERE prior IS NOT NULL""")
 def duplicate_guards(spark, d):
     """Whether each turn may be linked with the one before: polarity, type and numbers must agree."""
-    w = W.partitionBy("session_id").orderBy("seq", "unit_id")
+    w = W.partitionBy("session_id").orderBy(F.asc_nulls_last("seq"), F.asc_nulls_last("unit_id"))
     u = R.units(load(spark, d, "conversations")).select("unit_id", "session_id", "seq", "text")
     p = u.withColumn("prior", F.lag("unit_id").over(w)).withColumn("before", F.coalesce(F.lag("text").over(w), F.lit(""))).where("prior is not null")
     return p.select("unit_id", "prior", markers.same_guards(F.col("text"), F.col("before")).alias("may_link"))
