@@ -130,7 +130,7 @@ def purge_phases(spark, d):
 SELECT event_id, CASE WHEN c_custkey IS NULL THEN 'no_consent' WHEN event_type = 'error' THEN 'wrong_purpose' WHEN spent > 1000 THEN 'over_budget' ELSE 'allowed' END AS verdict FROM s LEFT JOIN customer ON c_custkey = user_id AND c_acctbal > 0""")
 def consent_gate(spark, d):
     """Consent, purpose, then the running budget."""
-    spent = F.sum("value").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    spent = F.sum("value").over(W.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")))
     s = load(spark, d, "events").withColumn("spent", spent)
     c = load(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"), F.lit(True).alias("given"))
     verdict = F.when(F.col("given").isNull(), "no_consent").when(F.col("event_type") == "error", "wrong_purpose").when(F.col("spent") > 1000, "over_budget").otherwise("allowed")
