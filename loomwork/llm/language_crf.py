@@ -222,20 +222,19 @@ def fit(texts: list[str], labels: list[str], words_in_lexicon: int = 5000, epoch
     lexicon = np.sort(found[keep[n[keep] > 1]])
     model = Model(langs, np.zeros((BUCKETS + len(lexicon) + 1, k), np.float32), np.zeros((k, k)), lexicon)
     y = np.repeat([y_of[x] for x in labels], counts)
-    # per word: list of feature slots, flattened
-    rows, slots = [], []
-    base = 0
-    for p in parts:
+    # per word: list of feature slots, flattened text by text
+    slots, sizes = [], []
+    for i, p in enumerate(parts):
         m = len(p[0])
         if m:
             size = np.diff(np.append(p[0], len(p[1][0])))
             w = np.repeat(np.arange(m), size)
-            rows += [base + np.concatenate([w, w, np.tile(np.arange(m), 4)])]
-            slots += [np.concatenate([*p[1], *p[2], model.lex_slot(p[3])])]
-        base += m
-    rows, slots = np.concatenate(rows), np.concatenate(slots)
-    order = np.argsort(rows, kind="stable")
-    slots, first = slots[order], np.searchsorted(rows[order], np.arange(base + 1))
+            rows = np.concatenate([w, w, np.tile(np.arange(m), 4)])
+            own = np.concatenate([*p[1], *p[2], model.lex_slot(p[3])]).astype(np.int32)
+            slots.append(own[np.argsort(rows, kind="stable")])
+            sizes.append(2 * size + 4)
+        parts[i] = None
+    slots, first = np.concatenate(slots), np.cumsum(np.concatenate([[0], *sizes]))
     # segments of up to 16 words of one text, shuffled into chains of 4
     rng = np.random.default_rng(seed)
     ends = np.cumsum(counts)
@@ -297,10 +296,11 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     """Fit on up to ``each`` labelled texts of every language, however rare it is.
 
     Rows are drawn by hash.  A text of over ``longest`` characters teaches with
-    a piece of that length, from a place drawn by hash, so that the driver has
-    at most each * longest characters of a language; languages are labels, a few
-    of them.  Null texts teach nothing.
+    a piece of that length, from a place drawn by hash.  One task fits on at most
+    each * longest characters of a language; the driver gets the weights alone.
+    Languages are labels, a few of them.  Null texts teach nothing.
     """
+    bound_batches(docs.sparkSession)
     h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("crf")), 11) / float(1 << 53)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     known = known.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), h.alias("h"))
@@ -314,8 +314,24 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     drawn = drawn.select(F.substring("text", start.cast("int"), F.lit(longest)).alias("text"), "lang", "h")
     order = W.partitionBy("lang").orderBy("h", F.xxhash64("text"))
     rows = drawn.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each)
-    rows = rows.orderBy("h", "lang", F.xxhash64("text")).select("text", "lang").toPandas()
-    return fit(rows["text"].tolist(), rows["lang"].tolist())
+    rows = rows.repartition(1).sortWithinPartitions("h", "lang", F.xxhash64("text")).select("text", "lang")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            labels += b.column("lang").to_pylist()
+        if texts:
+            m = fit(texts, labels)
+            cols = [pa.array([m.langs], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in (m.weights, m.trans, m.lexicon))]
+            yield pa.RecordBatch.from_arrays(cols, names=["langs", "weights", "trans", "lexicon"])
+
+    found = rows.mapInArrow(run, "langs array<string>, weights binary, trans binary, lexicon binary").collect()
+    if not found:
+        return fit([], [])
+    langs, *made = found[0]
+    weights, trans, lexicon = (np.frombuffer(bytes(x), kind) for x, kind in zip(made, (np.float32, np.float64, np.uint64)))
+    return Model(langs, weights.reshape(-1, len(langs)), trans.reshape(len(langs), -1), lexicon)
 
 
 def label(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "lang_score") -> DataFrame:

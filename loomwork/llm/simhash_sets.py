@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from loomwork.llm.arrow import bound_batches, slices
 from loomwork.llm.graph import connected_components
 from loomwork.llm.simhash import PAIR_COST, allocate, ball_counts, group_bits
-from loomwork.scratch import Scratch
+from loomwork.scratch import Scratch, settle
 
 SKETCH = 128
 #: A pair of similarity 0.8 differs in 19.4 of the 128 bits, give or take 4.1, so that 1e-4 of such pairs are over
@@ -192,8 +192,8 @@ def _order(classes: DataFrame, width: int, parts: int) -> np.ndarray:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(range(total)), pa.array(np.concatenate(group_bits(co.astype(float), n, parts)))], names=["at", "bit"])
 
-    got = some.mapInArrow(run, "at long, bit long").toPandas()  # one row a bit
-    return got.sort_values("at")["bit"].to_numpy() if len(got) else np.arange(total)
+    got = some.mapInArrow(run, "at long, bit long").toArrow()  # one row a bit
+    return np.asarray(got["bit"])[np.argsort(np.asarray(got["at"]))] if len(got) else np.arange(total)
 
 
 def _counted(classes: DataFrame, plan: Plan) -> Plan:
@@ -210,8 +210,8 @@ def _counted(classes: DataFrame, plan: Plan) -> Plan:
         at = np.flatnonzero(hist)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(hist[at])], names=["cell", "n"])
 
-    found = classes.where("n > 0").select("sig").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # 2^CELL_BITS a piece at most
-    return plan.count(found["cell"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
+    found = classes.where("n > 0").select("sig").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # 2^CELL_BITS a piece at most
+    return plan.count(np.asarray(found["cell"]), np.asarray(found["n"]))
 
 
 def _asked(classes: DataFrame, shared) -> DataFrame:
@@ -506,6 +506,7 @@ def near_copies(
     classes = scratch.save(classes, "classes")
     plan = _counted(classes, Plan(_order(classes, width, parts), width, pair_cost))
     shared = docs.sparkSession.sparkContext.broadcast(plan)
+    settle(docs.sparkSession)  # some hundred jobs follow
     placed = scratch.save(_asked(classes, shared), "placed")
     hot = scratch.save(_hot(placed, shared), "hot")
     rows = _chunked(_members(placed.withColumn("root", F.col("cid")), shared), hot)
@@ -517,7 +518,9 @@ def near_copies(
     pairs = scratch.save(_alike(pairs, classes, least, bits), "alike")
     star = scratch.save(pairs.groupBy("v").agg(F.min(F.struct("d", "u"))["u"].alias("u")).select("u", "v"), "star")
     links = _verified(star, *args)
+    settle(docs.sparkSession)
     roots = scratch.save(connected_components(links, scratch), "roots")
+    settle(docs.sparkSession)
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
     rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
@@ -528,6 +531,7 @@ def near_copies(
         more = more.union(_hot_pairs(_chunked(_members(rooted, shared, True).join(hot.select("key"), "key", "left_semi"), hot), least)).distinct()
     rest = rest.union(_alike(more, classes, least, bits).select("u", "v")).distinct().join(star, ["u", "v"], "left_anti")
     links = links.unionByName(_verified(rest, *args))
+    settle(docs.sparkSession)
 
     roots = connected_components(links, Scratch(docs.sparkSession, "simhashsets"))
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", F.col("low.id").alias("low"), F.coalesce("root", "cid").alias("root"))

@@ -9,6 +9,7 @@ driver serves a local session, and any other session is refused.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -66,3 +67,9 @@ def sweep(since: int) -> None:
     """Delete what operators have written since ``mark()``; call it once their results are written elsewhere."""
     while len(_made) > since:
         _made.pop().drop()
+
+
+def settle(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: what finished jobs leave in it, and their shuffle files, goes only then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

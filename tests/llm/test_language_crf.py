@@ -1,7 +1,9 @@
 import itertools
+import os
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomwork.llm import language_crf as crf
 
@@ -92,3 +94,20 @@ def test_rare_languages_and_long_texts_are_learned(spark):
     assert model.langs == ["en", "fi", "pl"]
     langs, _ = crf.predict(model, [make("fi", 15), make("pl", 15), make("en", 15)])
     assert langs == ["fi", "pl", "en"]
+
+
+def test_a_task_fits_and_the_driver_gets_the_weights(spark, sf, monkeypatch):
+    fit, driver = crf.fit, os.getpid()
+
+    def elsewhere(texts, labels):
+        assert os.getpid() != driver or not texts
+        return fit(texts, labels)
+
+    df = spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null")
+    rows = df.select("text", "lang", F.xxhash64("doc_id", "text", F.lit("crf")).alias("h")).collect()
+    rows.sort(key=lambda r: r.h % (1 << 64) >> 11)
+    want = fit([r.text for r in rows], [r.lang for r in rows])
+    monkeypatch.setattr(crf, "fit", elsewhere)
+    got = crf.learn(df, each=len(rows), longest=1 << 20)
+    assert got.langs == want.langs and (got.weights == want.weights).all() and (got.trans == want.trans).all() and (got.lexicon == want.lexicon).all()
+    assert crf.learn(df.where("false")).langs == []
