@@ -55,6 +55,9 @@ FITTED, CELL_BITS = 16384, 12
 INDEX, BOTH, PROBE = 0, 1, 2
 #: Partitions in which a bucket with many close pairs names leaders; the others leave its members to the second round.
 LEADING = 16
+#: Pairs of the second round are verified tile by tile: texts of about two BLOCKs of a bucket's members.
+BLOCK, TILE = 256, ["key", "chunk", "i", "j"]
+PAIRS = "u long, v long, key long, chunk long, i long, j long"
 
 
 def agreement(least: float) -> float:
@@ -316,7 +319,7 @@ def close_pairs(cid: np.ndarray, sketch: np.ndarray, role: np.ndarray, leading:
     if len(cid) <= 512:
         near = np.triu(_near(sketch, sketch) & _meet(role, role), 1)
         i, j = np.nonzero(near)
-        if len(i) <= 2 * len(cid):
+        if len(i) <= len(cid):
             return cid[i], cid[j], none
         own = np.flatnonzero(near.any(0) & leading)
         return cid[near[:, own].argmax(0)], cid[own], cid[near.any(0) | near.any(1)]
@@ -391,22 +394,29 @@ def _cross(sketch, root, cid, role, n, sig, a, b, least):
 
 
 def _batch(found):
-    u, v = np.unique(np.concatenate([np.stack(c, axis=1) for c in found]), axis=0).T  # the same pairs come from many buckets
-    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+    """(u, v) and the tile of texts that verifies each: its bucket, there a block of u's and one of v's."""
+    rows = np.concatenate([np.stack(np.broadcast_arrays(u, v, key, chunk, u % blocks, v % blocks), axis=1) for u, v, key, chunk, blocks in found])
+    rows = rows[np.unique(rows[:, :2], axis=0, return_index=True)[1]]  # the same pairs come from many buckets
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in rows.T], names=["u", "v", *TILE])
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    """Each pair (u, v) with one of its tiles."""
+    return pairs.groupBy("u", "v").agg(F.min(F.struct(*TILE)).alias("t")).select("u", "v", "t.*")
 
 
 def _cross_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """(u, v): close pairs of a bucket chunk in different components; ``rows`` are whole members with their roots."""
+    """(u, v) and their tile: close pairs of a bucket chunk in different components; ``rows`` are whole members with their roots."""
 
     def run(batches):
         held, n = [], 0
-        for _, _, cid, root, s0, s1, *own in _buckets(batches, ["key", "chunk", "cid", "root", "s0", "s1", "role", "n", "sig"]):
+        for key, chunk, cid, root, s0, s1, *own in _buckets(batches, ["key", "chunk", "cid", "root", "s0", "s1", "role", "n", "sig"]):
             if (root != root[0]).any():
                 # members outside the largest component, against all
                 roots, count = np.unique(root, return_counts=True)
                 few = np.flatnonzero(root != roots[count.argmax()])
                 for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, *own, few, np.arange(len(cid)), least):
-                    held.append(pair)
+                    held.append((*pair, key[0], chunk[0], -(-len(cid) // BLOCK)))
                     n += len(pair[0])
             if n > 1 << 18:
                 yield _batch(held)
@@ -414,11 +424,11 @@ def _cross_pairs(rows: DataFrame, least: float) -> DataFrame:
         if held:
             yield _batch(held)
 
-    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "u long, v long").distinct()
+    return rows.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, PAIRS)
 
 
 def _hot_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """The same for buckets of several chunks: (u, v) across chunks.
+    """The same for buckets of several chunks: pairs across chunks.
 
     Members outside a bucket's largest component go to all its chunks; each
     chunk compares its members with them.
@@ -430,11 +440,11 @@ def _hot_pairs(rows: DataFrame, least: float) -> DataFrame:
     both = few.union(open_.select("key", "chunk", F.lit(1).alias("side"), "cid", "root", "s0", "s1", "role", "n", "sig"))
 
     def run(batches):
-        for _, _, side, cid, root, s0, s1, *own in _buckets(batches, ["key", "chunk", "side", "cid", "root", "s0", "s1", "role", "n", "sig"]):
+        for key, chunk, side, cid, root, s0, s1, *own in _buckets(batches, ["key", "chunk", "side", "cid", "root", "s0", "s1", "role", "n", "sig"]):
             for pair in _cross(np.stack([s0, s1], axis=1).view(np.uint64), root, cid, *own, np.flatnonzero(side == 0), np.flatnonzero(side == 1), least):
-                yield _batch([pair])
+                yield _batch([(*pair, key[0], chunk[0], -(-len(cid) // BLOCK))])
 
-    return both.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, "u long, v long").distinct()
+    return both.repartition("key", "chunk").sortWithinPartitions("key", "chunk").mapInArrow(run, PAIRS)
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, least: float, bits: int) -> DataFrame:
@@ -457,14 +467,19 @@ def _alike(pairs: DataFrame, classes: DataFrame, least: float, bits: int) -> Dat
     return sides.select("u", "v", F.least("n_u", "n_v").alias("n"), "sig_u", "sig_v").mapInArrow(run, "u long, v long, d long")
 
 
+def _texts(wanted: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(cid, text) of the classes in ``wanted``."""
+    wanted = wanted.distinct().join(classes, "cid").select("cid", F.col("low.id").alias("id"), F.col("low.th").alias("th"))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).join(wanted, ["id", "th"])
+    return texts.select("cid", "text").dropDuplicates(["cid"])
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
     """The ``pairs(u, v)`` of classes with similarity ``least`` or more."""
     scratch = Scratch(docs.sparkSession, "pairs")
     left = scratch.save(pairs.select("u", "v"), "left")
-    wanted = left.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(classes, "cid").select("cid", F.col("low.id").alias("id"), F.col("low.th").alias("th"))
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).join(wanted, ["id", "th"])
-    texts = scratch.save(texts.select("cid", "text").dropDuplicates(["cid"]), "texts")
+    texts = scratch.save(_texts(left.select(F.explode(F.array("u", "v")).alias("cid")), classes, docs, id_col, text_col), "texts")
     both = left.join(texts.select(F.col("cid").alias("u"), F.col("text").alias("text_u")), "u").join(texts.select(F.col("cid").alias("v"), F.col("text").alias("text_v")), "v")
 
     def exact(batches):
@@ -484,6 +499,33 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     return scratch.save(both.select("u", "v", "text_u", "text_v").mapInArrow(exact, "u long, v long"), "links")
 
 
+def _verified_tiles(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, least: float) -> DataFrame:
+    """The same for ``pairs`` with their tiles: a text goes to its tiles, however many pairs it has there."""
+    scratch = Scratch(docs.sparkSession, "pairs")
+    left = scratch.save(pairs, "left")
+    members = left.select("u", *TILE).distinct().union(left.select("v", *TILE).distinct()).distinct().withColumnRenamed("u", "cid")
+    members = scratch.save(members, "members")
+    texts = scratch.save(_texts(members.select("cid"), classes, docs, id_col, text_col), "texts")
+    sent = members.join(texts, "cid").select(*TILE, F.lit(0).alias("kind"), F.col("cid").alias("u"), F.lit(0).cast("long").alias("v"), "text")
+    both = sent.union(left.select(*TILE, F.lit(1), "u", "v", F.lit(None).cast("string")))
+
+    def exact(batches):
+        at, sets = None, {}
+        for b in slices(batches, "text"):
+            keep = []
+            for *tile, kind, u, v, text in zip(*(c.to_pylist() for c in b.columns)):
+                if tile != at:
+                    at, sets = tile, {}
+                if not kind:
+                    sets[u] = shingle_set(text, words)
+                keep.append(bool(kind) and similar(sets[u], sets[v], least))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("u").filter(keep), b.column("v").filter(keep)], names=["u", "v"])
+
+    rows = both.repartition(*TILE).sortWithinPartitions(*TILE, "kind")
+    return scratch.save(rows.mapInArrow(exact, "u long, v long"), "links")
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8, miss: float = 1e-4, pair_cost: float = PAIR_COST
 ) -> DataFrame:
@@ -523,14 +565,15 @@ def near_copies(
     settle(docs.sparkSession)
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     rest = pairs.join(side("u"), "u", "left").join(side("v"), "v", "left")
-    rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    rest = rest.where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v").join(star, ["u", "v"], "left_anti")
     rooted = placed.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     open_ = found.where("v is null").select(F.col("u").alias("cid")).distinct()
     more = _cross_pairs(_chunked(_members(rooted.join(open_, "cid", "left_semi"), shared, True), hot), least)
     if hot.limit(1).count():
-        more = more.union(_hot_pairs(_chunked(_members(rooted, shared, True).join(hot.select("key"), "key", "left_semi"), hot), least)).distinct()
-    rest = rest.union(_alike(more, classes, least, bits).select("u", "v")).distinct().join(star, ["u", "v"], "left_anti")
-    links = links.unionByName(_verified(rest, *args))
+        more = more.union(_hot_pairs(_chunked(_members(rooted, shared, True).join(hot.select("key"), "key", "left_semi"), hot), least))
+    # a pair that the first round has left open is a tile of its own, unless a bucket of the second has it too
+    alone = rest.select("u", "v", F.lit(1 << 62).alias("key"), F.lit(0).cast("long").alias("chunk"), F.col("u").alias("i"), F.col("v").alias("j"))
+    links = links.unionByName(_verified_tiles(_once(more.union(alone)), *args))
     settle(docs.sparkSession)
 
     roots = connected_components(links, Scratch(docs.sparkSession, "simhashsets"))

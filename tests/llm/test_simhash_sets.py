@@ -217,3 +217,25 @@ def test_no_bucket_is_larger_than_its_bound():
 
 def test_empty(spark):
     assert shingles.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_second_round_sends_texts_to_tiles_not_to_pairs(spark, monkeypatch):
+    r, saved, save = random.Random(3), {}, shingles.Scratch.save
+
+    def noted(self, df, name):
+        saved[name] = save(self, df, name)
+        return saved[name]
+
+    monkeypatch.setattr(shingles.Scratch, "save", noted)
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    words = [f"w{r.randrange(900)}" for _ in range(200)]
+    texts = []
+    for i in range(200):  # two of them share 0.7 to 0.9 of their shingles
+        copy = list(words)
+        for at in r.sample(range(len(copy)), r.choice((2, 3))):
+            copy[at] = f"x{i}y{at}"
+        texts.append(" ".join(copy))
+    monkeypatch.setattr(shingles, "LEADING", 0)
+    got = shingles.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {x.id: x.component for x in got} == dict(enumerate(components(texts)))
+    assert saved["members"].count() < saved["left"].count() / 2
